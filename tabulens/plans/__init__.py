@@ -1,0 +1,9 @@
+"""Registered queries, grouped by stage."""
+
+import importlib
+import pkgutil
+
+
+def load_all() -> None:
+    for m in sorted(x.name for x in pkgutil.iter_modules(__path__) if x.name.startswith("q_")):
+        importlib.import_module(f"{__name__}.{m}")
