@@ -62,9 +62,9 @@ def with_cluster_context(top: DataFrame, distinct: DataFrame, labels: DataFrame,
 
     `top` has (key, cluster, feature) rows, `distinct` and `labels` one row per cluster feature.
     """
-    mine = top.groupBy(key, "cluster").agg(F.array_sort(F.collect_set("feature")).alias("mine"),
+    mine = top.groupBy(key, "cluster").agg(F.sort_array(F.collect_set("feature")).alias("mine"),
                                            F.first("anomaly_score").alias("anomaly_score"))
-    own = distinct.groupBy("cluster").agg(F.array_sort(F.collect_set("feature")).alias("own"))
+    own = distinct.groupBy("cluster").agg(F.sort_array(F.collect_set("feature")).alias("own"))
     d = mine.join(F.broadcast(own), "cluster", "left").join(F.broadcast(labels), "cluster", "left")
     own0 = F.coalesce("own", F.array().cast("array<string>"))
     overlap, novel = F.array_intersect("mine", own0), F.array_except("mine", own0)

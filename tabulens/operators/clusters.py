@@ -50,13 +50,13 @@ def cluster_labels(distinct: DataFrame) -> DataFrame:
 def cluster_profiles(df: DataFrame, cluster: str, moments: DataFrame, key: str, rows: int = 10) -> DataFrame:
     """One row per cluster: size, share, label, distinctive features, first keys."""
     best = distinctive_features(moments)
-    names = best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "feature"))),
+    names = best.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "feature"))),
                                                                  lambda s: s["feature"]), ",").alias("distinctive"))
     # the smallest keys per cluster: partial top-k on hashed parts first, so a large cluster is never sorted whole
     part = df.where(F.col(cluster) >= 0).select(F.col(cluster).alias("cluster"), F.col(key).alias("k"),
                                                 F.pmod(F.xxhash64(key), F.lit(64)).alias("_s"))
     near = part.withColumn("_r", F.row_number().over(W.partitionBy("cluster", "_s").orderBy("k"))).where(F.col("_r") <= rows)
-    firsts = near.groupBy("cluster").agg(F.array_join(F.slice(F.array_sort(F.collect_list("k")), 1, rows).cast("array<string>"), ",").alias("sample_keys"))
+    firsts = near.groupBy("cluster").agg(F.array_join(F.slice(F.sort_array(F.collect_list("k")), 1, rows).cast("array<string>"), ",").alias("sample_keys"))
     d = cluster_sizes(df, cluster)
     for side in (cluster_labels(best), names, firsts):  # one row per cluster
         d = d.join(F.broadcast(side), "cluster", "left")

@@ -155,7 +155,7 @@ def column_roles(profile: DataFrame, target: str | None, declared: dict[str, str
 
 def routing(roles: DataFrame, task: str) -> DataFrame:
     """One-row routing record from the roles (a table with one row per column)."""
-    names = lambda r: F.array_join(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.col("column_name")))), ",")
+    names = lambda r: F.array_join(F.sort_array(F.collect_list(F.when(F.col("role") == r, F.col("column_name")))), ",")
     longest = F.max(F.when(F.col("role") == "text", F.col("avg_length")))
     n_num = F.count_if(F.col("role") == "numeric")
     heavy = F.lit(task == "classification") & (longest >= 50) & (n_num <= 5)

@@ -23,7 +23,7 @@ def pair_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def confusion_matrix(pairs: DataFrame) -> DataFrame:
     """Counts on the full label grid, zero cells included."""
-    labels = pairs.agg(F.array_sort(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("l"))
+    labels = pairs.agg(F.sort_array(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("l"))
     grid = (labels.select("l", F.explode("l").alias("actual")).select("actual", F.explode("l").alias("predicted")))
     return grid.join(pairs, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

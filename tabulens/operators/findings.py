@@ -170,7 +170,7 @@ def causal_map(importance: DataFrame, correlations: DataFrame, inter: DataFrame)
         F.col("feature_a").alias("feature"), F.col("strength").alias("correlation_strength"), "pearson_r")
     pair = lambda a, b: F.struct(F.col(a).alias("feature"), F.col(b).alias("partner"), F.col("interaction_lift").alias("lift"))
     partners = (inter.select(F.inline(F.array(pair("feature_a", "feature_b"), pair("feature_b", "feature_a")))).groupBy("feature")
-                .agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("o"), "partner"))), 1, 2),
+                .agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("lift")).alias("o"), "partner"))), 1, 2),
                                               lambda s: s["partner"]), ",").alias("interacts_with")))
     d = importance.where(F.col("rank") <= 10).join(F.broadcast(corr), "feature", "left").join(F.broadcast(partners), "feature", "left")
     return d.select("rank", "feature", F.col("impact_pct").alias("importance_pct"), "direction", F.lit("direct").alias("pathway"),

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def spread(self, name: str, *keys: str) -> DataFrame:
+        """The table, redistributed only when its scan has too few splits for heavy row work."""
+        return spread(getattr(self, name), *keys)
+
 
 def query(name: str, sql: str | None = None):
     """Register `fn(t)` under `name`; `sql` is the check statement, if SQL can say it."""

@@ -44,3 +44,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for heavy row work on a scan that has too few splits.
+
+    Only a scan with fewer splits than half the cores is redistributed, so a large table is
+    never shuffled by this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() * 2 > cores:
+        return scan
+    return scan.repartition(cores, *keys)
