@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _betacf(a: float, b: float, x: float) -> float:
@@ -65,16 +66,16 @@ def p_ks(stat: float, n1: float, n2: float) -> float:
     return min(1.0, max(0.0, 2 * total))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([p_correlation(a, b) for a, b in zip(r, n)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def anova_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([p_anova(a, b, c) for a, b, c in zip(f, d1, d2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ks_p(stat: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return pd.Series([p_ks(a, b, c) for a, b, c in zip(stat, n1, n2)], dtype="float64")

@@ -114,3 +114,69 @@ importance as (select feature, round(abs(r), 6) as importance,
   case when r > 0 then 'positive' when r < 0 then 'negative' else 'unknown' end as direction,
   row_number() over (order by round(100 * abs(r) / (select sum(abs(r)) from importance0), 2) desc, feature) as rnk
   from importance0)"""
+
+
+# line items with a linear, a monotone non-linear and an interaction signal
+SIGNALS = """
+sig as (select l_orderkey, l_linenumber, l_quantity as q, l_discount * 100 as d, l_tax * 100 as x,
+  power(l_quantity, 6) / 1000000.0 as q6, l_extendedprice as p,
+  2.0 * l_quantity + l_extendedprice / 10000.0 - l_discount * 300 as y, (l_quantity - 25) * (l_tax * 100 - 4) + l_extendedprice / 5000.0 as w,
+  case when l_orderkey % 9 = 0 then null else l_quantity end as q_holes from lineitem)"""
+SIGNAL_FEATURES = ["q", "d", "x", "q6", "p", "q_holes"]
+
+
+def signals(t: Tables) -> DataFrame:
+    q, d, x, p = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_extendedprice")
+    return t.lineitem.select(
+        "l_orderkey", "l_linenumber", q.alias("q"), d.alias("d"), x.alias("x"), (F.pow(q, F.lit(6)) / 1000000.0).alias("q6"),
+        p.alias("p"), (2.0 * q + p / 10000.0 - F.col("l_discount") * 300).alias("y"), ((q - 25) * (x - 4) + p / 5000.0).alias("w"),
+        F.when(F.col("l_orderkey") % 9 != 0, q).alias("q_holes"))
+
+
+# share of absolute correlation with y as importance of the signal features
+SIGNAL_IMPORTANCE = SIGNALS + """,
+imp0 as (""" + " union all ".join(f"select '{c}' as feature, corr({c}, y) as r from sig" for c in ["q", "d", "x", "q6", "p"]) + """),
+importance as (select feature, round(abs(r), 6) as importance, round(100 * abs(r) / (select sum(abs(r)) from imp0), 2) as impact_pct,
+  case when r > 0 then 'positive' when r < 0 then 'negative' else 'unknown' end as direction, r,
+  row_number() over (order by round(100 * abs(r) / (select sum(abs(r)) from imp0), 2) desc, feature)::bigint as rank from imp0)"""
+IMPORTANT = ["q", "d", "x", "q6", "p"]
+
+
+def signal_importance(t: Tables) -> DataFrame:
+    from ..operators.stats import correlation_importance
+
+    return correlation_importance(signals(t), IMPORTANT, "y")
+
+
+# orders whose price grows, and a second value that falls, over time
+ORDERS_TREND = """
+trend as (select o_orderkey, o_orderdate, o_totalprice as flat, o_totalprice + 200.0 * date_diff('day', timestamp '1992-01-01', o_orderdate) as grow,
+  o_totalprice / 10.0 - 30.0 * date_diff('day', timestamp '1992-01-01', o_orderdate) as fall from orders)"""
+TREND_FEATURES = ["flat", "grow", "fall"]
+
+
+def orders_trend(t: Tables) -> DataFrame:
+    days = F.datediff(F.col("o_orderdate"), F.lit("1992-01-01").cast("date"))
+    return t.orders.select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("flat"),
+                           (F.col("o_totalprice") + 200.0 * days).alias("grow"), (F.col("o_totalprice") / 10.0 - 30.0 * days).alias("fall"))
+
+
+# embeddings as sixteen summed dimensions with their given label as cluster
+VECTORS = "vec as (select vec_id, label::bigint as cluster, " + ", ".join(
+    f"(embedding[{4 * i + 1}]::double + embedding[{4 * i + 2}]::double + embedding[{4 * i + 3}]::double + embedding[{4 * i + 4}]::double) as v{i}"
+    for i in range(16)) + " from embeddings)"
+VECTOR_FEATURES = [f"v{i}" for i in range(16)]
+
+
+def vectors(t: Tables) -> DataFrame:
+    e = lambda j: F.col("embedding")[j].cast("double")
+    return t.embeddings.select("vec_id", F.col("label").cast("long").alias("cluster"),
+                               *[(e(4 * i) + e(4 * i + 1) + e(4 * i + 2) + e(4 * i + 3)).alias(f"v{i}") for i in range(16)])
+
+
+PLANTED_FEATURES = ["f1", "f2", "f3", "f4"]
+
+
+def long_sql(table: str, features: list[str], keep: str = "", name: str = "long") -> str:
+    """Unpivot of features as SQL: (keep, feature, v)."""
+    return f"{name} as (" + " union all ".join(f"select {keep} '{c}' as feature, {c}::double as v from {table}" for c in features) + ")"
