@@ -100,9 +100,9 @@ def classification_candidates(spec: Spec, n_classes: int) -> dict[str, Callable]
         # nearest built-in form of extremely randomised trees: no bootstrap, coarse random splits
         "ExtraTrees": lambda: RandomForestClassifier(numTrees=spec.trees, maxDepth=spec.depth, minInstancesPerNode=2, bootstrap=False,
                                                      featureSubsetStrategy="sqrt", maxBins=16, seed=SEED + 1, **w),
-        "LogisticRegression": lambda: _scaled(LogisticRegression(maxIter=100, regParam=0.01, **w)),
+        "LogisticRegression": lambda: _scaled(LogisticRegression(maxIter=100, tol=1e-4, regParam=0.01, **w)),
     }
-    svc = lambda: LinearSVC(maxIter=100, regParam=0.01, labelCol="label", weightCol="weight")
+    svc = lambda: LinearSVC(maxIter=50, tol=1e-4, regParam=0.01, labelCol="label", weightCol="weight")
     gbt = lambda: GBTClassifier(maxIter=spec.rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.85, seed=SEED, labelCol="label")
     if n_classes == 2:
         out["LinearSVC"] = lambda: _scaled(svc())
@@ -130,8 +130,8 @@ def regression_candidates(spec: Spec, n: int) -> dict[str, Callable]:
 def text_candidates() -> dict[str, Callable]:
     w = {"labelCol": "label", "weightCol": "weight"}
     return {
-        "LogisticRegression": lambda: LogisticRegression(maxIter=100, regParam=0.01, **w),
-        "LinearSVC": lambda: OneVsRest(classifier=LinearSVC(maxIter=100, regParam=0.01, labelCol="label"), labelCol="label", weightCol="weight"),
+        "LogisticRegression": lambda: LogisticRegression(maxIter=100, tol=1e-4, regParam=0.01, **w),
+        "LinearSVC": lambda: OneVsRest(classifier=LinearSVC(maxIter=50, tol=1e-4, regParam=0.01, labelCol="label"), labelCol="label", weightCol="weight"),
         "MultinomialNB": lambda: NaiveBayes(modelType="multinomial", smoothing=1.0, labelCol="label"),
     }
 
@@ -215,6 +215,11 @@ class Prepared:
     folds: int
 
 
+def few_splits(df: DataFrame, rows: int, per_split: int = 50_000) -> DataFrame:
+    """Iterative solvers run one job per step: a small table should not pay for many tiny tasks."""
+    return df.coalesce(max(1, rows // per_split))
+
+
 def prepare(df: DataFrame, spec: Spec, folds: int = 3, min_class: int = 3) -> Prepared:
     """Drop rows without target and rare classes, fit features, split 80/20, number folds; vectors are cached."""
     d = df.where(F.col(spec.target).isNotNull())
@@ -235,7 +240,7 @@ def prepare(df: DataFrame, spec: Spec, folds: int = 3, min_class: int = 3) -> Pr
         d = d.withColumn("fold", F.floor(hash_unit(spec.key, 7) * folds).cast("long"))
     pipe = feature_pipeline(d.where("part = 'train'"), spec).fit(d.where("part = 'train'"))
     cols = [*spec.key, "label", "part", "fold", "features"] + (["weight"] if spec.task == "classification" else [])
-    frame = pipe.transform(d).select(*cols).persist()
+    frame = few_splits(pipe.transform(d).select(*cols), d.count()).persist()
     return Prepared(spec, pipe, labels, frame.where("part = 'train'"), frame.where("part = 'test'"), folds)
 
 
@@ -368,5 +373,6 @@ def text_frame(df: DataFrame, key: str, text: str, target: str, max_features: in
     to_vec = F.udf(lambda j, x: Vectors.sparse(size, j or [], x or []), VectorUDT())
     rows = sparse_rows(tfidf(d, key, text, max_features, lower=False, fitted=fitted), key)
     frame = d.select(key, "label", "weight", "part", "fold").join(rows, key, "left").select(
-        key, "label", "weight", "part", "fold", to_vec("j", "x").alias("features")).persist()
+        key, "label", "weight", "part", "fold", to_vec("j", "x").alias("features"))
+    frame = few_splits(frame, one["n"]).persist()
     return frame, labels, folds

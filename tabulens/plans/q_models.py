@@ -24,8 +24,8 @@ def quality_table(t):
                     (F.regexp_count(c, F.lit("\n")) + 1).cast("double").alias("n_lines"))
 
 
-QUALITY = models.Spec("quality", "classification", ["doc_id"], ["n_chars", "n_words", "mark_share", "n_lines"], ["lang", "source"])
-PRICE = models.Spec("goal", "regression", ["p_partkey"], ["p_size", "noise"], ["p_brand"])
+QUALITY = models.Spec("quality", "classification", ["doc_id"], ["n_chars", "n_words", "mark_share", "n_lines"], ["lang", "source"], trees=20, depth=5, rounds=10)
+PRICE = models.Spec("goal", "regression", ["p_partkey"], ["p_size", "noise"], ["p_brand"], trees=20, depth=5, rounds=10)
 
 
 def price_table(t):
@@ -269,8 +269,8 @@ def _(t):
     return sk.preview_extracted(extract.number_items(items(t)), ["title", "link", "badge"])
 
 
-@query("snk09_filtered_export", """select p_partkey, p_name, try_cast(translate('$' || p_size || ',0.5', '$,', '') as double) as price from part where contains(lower(p_name), 'st')""")
+@query("snk09_filtered_export", """select p_partkey, p_name, try_cast(translate('$' || p_size || ',0.5', '$,', '') as double) as price from part where contains(lower(p_name), 'bolt')""")
 def _(t):
     from ..sinks import tables as sk
     d = t.part.select("p_partkey", "p_name", F.concat(F.lit("$"), F.col("p_size").cast("string"), F.lit(",0.5")).alias("price"))
-    return sk.export_view(d, "ST", ["p_name"], ["price"])
+    return sk.export_view(d, "BOLT", ["p_name"], ["price"])

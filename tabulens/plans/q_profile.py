@@ -365,9 +365,9 @@ def _(t):
     return clean.finite_or_zero(bad, ["value"])
 
 
-@query("prj11_search", """select p_partkey, p_name, p_brand from part where contains(lower(p_name), 'st') or contains(lower(p_brand), 'st') or contains(lower(p_type), 'st')""")
+@query("prj11_search", """select p_partkey, p_name, p_brand from part where contains(lower(p_name), 'small') or contains(lower(p_brand), 'small') or contains(lower(p_type), 'small')""")
 def _(t):
-    return clean.search(t.part, "ST", ["p_name", "p_brand", "p_type"]).select("p_partkey", "p_name", "p_brand")
+    return clean.search(t.part, "Small", ["p_name", "p_brand", "p_type"]).select("p_partkey", "p_name", "p_brand")
 
 
 @query("prj13_exclude_noise", f"""with {I.PLANTED} select id, f1 from planted where case when far then -1 else cluster end >= 0""")
