@@ -127,11 +127,12 @@ def regression_candidates(spec: Spec, n: int) -> dict[str, Callable]:
     }
 
 
-def text_candidates() -> dict[str, Callable]:
+def text_candidates(n_classes: int) -> dict[str, Callable]:
     w = {"labelCol": "label", "weightCol": "weight"}
+    svc = lambda **k: LinearSVC(maxIter=30, tol=1e-4, regParam=0.01, labelCol="label", **k)
     return {
-        "LogisticRegression": lambda: LogisticRegression(maxIter=100, tol=1e-4, regParam=0.01, **w),
-        "LinearSVC": lambda: OneVsRest(classifier=LinearSVC(maxIter=50, tol=1e-4, regParam=0.01, labelCol="label"), labelCol="label", weightCol="weight"),
+        "LogisticRegression": lambda: LogisticRegression(maxIter=50, tol=1e-4, regParam=0.01, **w),
+        "LinearSVC": (lambda: svc(weightCol="weight")) if n_classes == 2 else (lambda: OneVsRest(classifier=svc(), labelCol="label", weightCol="weight")),
         "MultinomialNB": lambda: NaiveBayes(modelType="multinomial", smoothing=1.0, labelCol="label"),
     }
 

@@ -54,8 +54,8 @@ def _(t):
 def _(t):
     d = t.documents.join(t.labels, "doc_id").select("doc_id", "quality", X.normalize_english(F.col("text")).alias("text"))
     spec = models.Spec("quality", "classification", ["doc_id"])
-    frame, _labels, folds = models.text_frame(d, "doc_id", "text", "quality", max_features=2000)
-    return models.leaderboard(frame.where("part = 'train'"), models.text_candidates(), spec, folds)
+    frame, labels, folds = models.text_frame(d, "doc_id", "text", "quality", max_features=500)
+    return models.leaderboard(frame.where("part = 'train'"), models.text_candidates(len(labels)), spec, folds)
 
 
 def fitted(t, spec, table, name):
