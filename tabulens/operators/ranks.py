@@ -43,7 +43,7 @@ def running_totals(df: DataFrame, group: str, value: str, sums: Sequence[str], r
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str, rows: int,
-           floor: int = 100_000) -> DataFrame:
+           floor: int = 1_000_000) -> DataFrame:
     """Inner join on keys unique in `small`, where `weight` counts the rows of a key.
 
     Keys with more than rows/1000 rows (at most a thousand of them per group) are joined by
@@ -70,7 +70,7 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None = None,
-             rows_per_bucket: int = ROWS_PER_BUCKET, floor: int = 100_000) -> DataFrame:
+             rows_per_bucket: int = ROWS_PER_BUCKET, floor: int = 1_000_000) -> DataFrame:
     """(feature_a, feature_b, n, spearman_r) over pairwise complete rows."""
     rows = df.count() if rows is None else rows
     items = [F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),

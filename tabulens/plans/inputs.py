@@ -21,7 +21,7 @@ orders_dirty as (select o_orderkey, o_custkey,
 def orders_dirty(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     words = F.when(k % 11 == 0, "N/A").when(k % 11 == 1, "?").when(k % 11 == 2, "بدون").when(k % 11 == 3, " missing ")
-    return t.orders.select(
+    return t.spread("orders", "o_orderkey").select(
         "o_orderkey", "o_custkey",
         words.otherwise(F.round(F.col("o_totalprice") / 100).cast("long").cast("string")).alias("price_txt"),
         F.when(k % 13 != 0, F.col("o_orderstatus")).alias("status"),
@@ -127,7 +127,7 @@ SIGNAL_FEATURES = ["q", "d", "x", "q6", "p", "q_holes"]
 
 def signals(t: Tables) -> DataFrame:
     q, d, x, p = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_extendedprice")
-    return t.lineitem.select(
+    return t.spread("lineitem", "l_orderkey").select(
         "l_orderkey", "l_linenumber", q.alias("q"), d.alias("d"), x.alias("x"), (F.pow(q, F.lit(6)) / 1000000.0).alias("q6"),
         p.alias("p"), (2.0 * q + p / 10000.0 - F.col("l_discount") * 300).alias("y"), ((q - 25) * (x - 4) + p / 5000.0).alias("w"),
         F.when(F.col("l_orderkey") % 9 != 0, q).alias("q_holes"))
@@ -157,7 +157,7 @@ TREND_FEATURES = ["flat", "grow", "fall"]
 
 def orders_trend(t: Tables) -> DataFrame:
     days = F.datediff(F.col("o_orderdate"), F.lit("1992-01-01").cast("date"))
-    return t.orders.select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("flat"),
+    return t.spread("orders", "o_orderkey").select("o_orderkey", "o_orderdate", F.col("o_totalprice").alias("flat"),
                            (F.col("o_totalprice") + 200.0 * days).alias("grow"), (F.col("o_totalprice") / 10.0 - 30.0 * days).alias("fall"))
 
 

@@ -356,7 +356,7 @@ def _(t):
   len(regexp_extract_all({squeeze_sql('lower(text)')}, '{NWS}+'))::bigint as text_word_count,
   case when length(regexp_replace(text, '{WS}', '', 'g')) = 0 then 'unknown' else 'english' end as text_lang from documents""")
 def _(t):
-    d = textstats.text_features(t.documents.select("doc_id", "text"), ["text"])
+    d = textstats.text_features(t.spread("documents", "doc_id").select("doc_id", "text"), ["text"])
     return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text_length", "text_word_count", "text_lang")
 
 
