@@ -385,7 +385,7 @@ def _(t):
     return encode.feature_matrix(t.customer, ["c_custkey"])[1].select("column_name", "used_as")
 
 
-@query("fea19_align_new_rows", """select s_suppkey, coalesce(s_acctbal, 0.0) as c_acctbal, 0.0 as "seg_A", (s_nationkey = 3)::int::double as "seg_3" from supplier""")
+@query("fea19_align_new_rows", """select s_suppkey, coalesce(s_acctbal, 0.0) as c_acctbal, 0.0::double as "seg_A", (s_nationkey = 3)::int::double as "seg_3" from supplier""")
 def _(t):
     d = t.supplier.select("s_suppkey", F.col("s_acctbal").alias("c_acctbal"), F.col("s_nationkey").cast("string").alias("seg"))
     return encode.align(d, {"c_acctbal": 0.0}, {"seg": ["A", "3"]}, ["s_suppkey"])

@@ -215,7 +215,7 @@ def _(t):
     return items(t).select("page_id", "position", "field_name", "value")
 
 
-@query("ext02_typed_values", f"""with {NAV} select 'title' as field_name, count(title) as filled, count(distinct title) as n_values from val union all select 'link', count(link), count(distinct link) from val union all select 'badge', 0, 0 from val""")
+@query("ext02_typed_values", f"""with {NAV} select 'title' as field_name, count(title) as filled, count(distinct title) as n_values from val union all select 'link', count(link), count(distinct link) from val union all select 'badge', 0, 0""")
 def _(t):
     return items(t).groupBy("field_name").agg(F.count("value").alias("filled"), F.count_distinct("value").alias("n_values"))
 
