@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, pieces, simhash, winnow
+from . import hosts, language, lines, pieces, secrets, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,12 @@ def _(t):
     return simhash.near_duplicates(t("documents")).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op2_url_filter", hosts.oracle())
+def _(t):
+    """Verdict on every page's url."""
+    return hosts.judge(t("pages"))
+
+
 @query("op3_sentencepiece")
 def _(t):
     """Token counts and digests of ids and decoded texts."""
@@ -74,6 +80,16 @@ def _(t):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op7_secrets", secrets.oracle())
+def _(t):
+    """Secrets in every document."""
+    out = secrets.scan(t("documents"))
+    text = lambda rows: F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                      F.sha2(text(F.filter("found", lambda x: x["strong"])), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
+
+
 OP8_SQL = r"""with raw as (select doc_id, text, string_split(text, chr(10)) as l from documents),
 line as (select doc_id, i, l[i] as x, len(regexp_extract_all(l[i], '[^\x20\x09-\x0D]+')) as n from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from raw)),
 seq as (select *, row_number() over (partition by doc_id order by i) as no, sum(n) over (partition by doc_id order by i) as upto from line where n > 0),
