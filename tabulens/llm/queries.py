@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hosts, language, lines, pieces, secrets, simhash, winnow
+from . import hosts, hpylm, language, lines, pieces, secrets, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,6 +113,12 @@ def _(t):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op9_hpylm")
+def _(t):
+    """Scores of every document under the unigram base and the hierarchical model."""
+    return hpylm.score(t("documents"), fold_of(F.col("doc_id"), 5) != 1).drop("perplexity")
+
+
 @query("op10_language")
 def _(t):
     """Predicted language of every document."""
