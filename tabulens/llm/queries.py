@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hosts, hpylm, language, lines, pieces, secrets, simhash, winnow
+from . import hosts, hpylm, language, lines, pieces, pii, secrets, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,16 @@ def _(t):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op6_pii")
+def _(t):
+    """Personal data in every document."""
+    docs = t("documents")
+    out = pii.find(docs, pii.fit(docs, F.col("doc_id")))
+    text = lambda rows: F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 @query("op7_secrets", secrets.oracle())
 def _(t):
     """Secrets in every document."""
