@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hosts, hpylm, language, lines, pieces, pii, secrets, simhash, winnow
+from . import ann, hosts, hpylm, language, lines, pieces, pii, secrets, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,6 +80,13 @@ def _(t):
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op5_ann")
+def _(t):
+    """Ten nearest embeddings of every hundredth one."""
+    rows = t("embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 @query("op6_pii")
 def _(t):
     """Personal data in every document."""
