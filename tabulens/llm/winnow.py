@@ -51,10 +51,8 @@ def fingerprints(d: DataFrame, short: list[int], whole: bool = False) -> DataFra
     d = d.withColumn("_g", F.transform(_places(F.col("_n"), K), lambda i: _gram(F.col("_h"), i, K)))
     spans = _places(F.size("_g"), WINDOW)
     kept = F.array_distinct(F.transform(spans, lambda i: F.array_min(F.slice(F.col("_g"), i + 1, WINDOW))))
-    parts = [kept]
-    for n in short:
-        every = F.transform(_places(F.col("_n"), n), lambda i, n=n: _gram(F.col("_h"), i, n))
-        parts.append(F.when(F.col("_n") == n, every).otherwise(F.array().cast("array<bigint>")) if whole else every)
+    every = lambda n: F.transform(_places(F.col("_n"), n), lambda i: _gram(F.col("_h"), i, n))
+    parts = [kept, *(F.when(F.col("_n") == n, every(n)).otherwise(F.array().cast("array<bigint>")) if whole else every(n) for n in short)]
     d = d.withColumn("_p", F.explode(F.concat(*parts) if len(parts) > 1 else kept))
     return d.withColumn("f", F.shiftright("_p", 30)).withColumn("at", (F.lit(PLACE) - F.col("_p").bitwiseAND(F.lit(PLACE))).cast("int")).drop("_h", "_n", "_g", "_p")
 
@@ -79,19 +77,20 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id_col, text_key, item_id, start, stop): ranges of document words that stand in a window
     of an item. Ranges may overlap; their union is complete. text_key tells apart texts with one id."""
     items = cut_lineage(benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.transform(words(F.col("text").cast("string")), lambda x: F.translate(x, _UPPER, _LOWER)).alias("words"))
-                        .where(F.size("words") > 0).distinct())
+                        .where(F.size("words") > 0).withColumn("own", F.md5(F.array_join("words", " ").cast("binary"))).distinct())
     short = sorted(r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct().collect())  # fewer than SPAN values
-    grams = fingerprints(items, short, whole=True).select("f", F.col("at").alias("item_at"), "item_id", F.col("words").alias("item_words"), F.size("words").alias("item_n"))
+    grams = fingerprints(items, short, whole=True).select("f", F.col("at").alias("item_at"), "item_id", "own", F.size("words").alias("item_n"))
     text = F.col("text").cast("string")
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), words(text).alias("words"))
-    slim = cut_lineage(grams.drop("item_words"))
-    if slim.count() <= BROADCAST_ROWS:
+    slim = cut_lineage(grams)
+    small = slim.count() <= BROADCAST_ROWS
+    if small:
         hit = fingerprints(d, short).join(F.broadcast(slim), "f")
     else:
         found = fingerprints(d, short).select("id", "text_key", "f", "at").join(slim, "f").drop("f")
         hit = found.join(d.withColumnRenamed("id", "_id").withColumnRenamed("text_key", "_key"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).drop("_id", "_key")
-    texts = items.withColumnRenamed("words", "item_words")
-    hit = hit.join(F.broadcast(texts) if slim.count() <= BROADCAST_ROWS else texts, "item_id")
+    texts = items.select("own", F.col("words").alias("item_words")).distinct()
+    hit = hit.join(F.broadcast(texts) if small else texts, "own")
     return _extend(hit).select(F.col("id").alias(id_col), "text_key", "item_id", "start", "stop").distinct()
 
 
