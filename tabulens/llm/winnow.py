@@ -95,12 +95,12 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """One row per document row: (id_col, n_words, n_hit, items, contaminated).
+    """One row per document row: (id_col, n_words, n_hit, n_items, items, contaminated).
 
     n_hit counts the document's words inside occurrences of item windows, each once; items are
     the ids (as sorted strings) with an occurrence. contaminated: n_hit > 0 and 20 n_hit >= n_words.
     Null and empty texts have no words and are never hit; items without words are skipped, items
-    with a null id count as hits but are not listed; an empty benchmark hits nothing. Rows with
+    with a null id count, but have no id to be listed; an empty benchmark hits nothing. Rows with
     the same id and text get the same result.
     """
     spans = cut_lineage(shared_spans(docs, benchmark, id_col, item_col))
@@ -108,12 +108,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ranges = spans.select(id_col, "text_key", "start", "stop").distinct()
     ranges = ranges.withColumn("before", F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     hits = ranges.groupBy(id_col, "text_key").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce("before", F.lit(0))))).alias("n_hit"))
-    listed = spans.select(id_col, "text_key", "item_id").distinct().groupBy(id_col, "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = hits.join(listed.withColumnsRenamed({id_col: "_id", "text_key": "_key"}), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "n_hit", "items")
+    listed = spans.select(id_col, "text_key", "item_id").distinct().groupBy(id_col, "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.count("*").alias("n_items"))
+    found = hits.join(listed.withColumnsRenamed({id_col: "_id", "text_key": "_key"}), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "n_hit", "n_items", "items")
     text = F.col("text").cast("string")
     every = docs.select(F.col(id_col), F.xxhash64(text).alias("text_key"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(BREAK.replace("[", "[^", 1))).cast("long").alias("n_words"))
     out = every.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    out = out.select(id_col, "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = out.select(id_col, "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
