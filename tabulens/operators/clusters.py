@@ -5,18 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import band
 from .ranks import number_rows
-from .sampling import hash_sample
 from .stats import _global
 
-MAX_SAMPLE = 5_000
-
 
 def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:
     """(cluster, size, size_pct) without noise (negative labels)."""
@@ -104,13 +100,8 @@ def _spread(df: DataFrame, cluster: str, features: Sequence[str], cents: list) -
     return {r["cluster"]: (r["s"], r["ss"]) for r in rows}
 
 
-def separation_scores(df: DataFrame, cluster: str, features: Sequence[str], key: Sequence[str],
-                      sample: int = MAX_SAMPLE) -> dict:
-    """Silhouette (sampled above 5000 rows), Davies-Bouldin and Calinski-Harabasz.
-
-    Centroids and spreads are aggregates over all rows; the silhouette of each sampled row is
-    computed on the executors against the sample, which is at most 5000 rows.
-    """
+def separation_scores(df: DataFrame, cluster: str, features: Sequence[str]) -> dict:
+    """Silhouette, Davies-Bouldin and Calinski-Harabasz, all from aggregates over all rows."""
     bad = {"silhouette": -1.0, "davies_bouldin": 99.0, "calinski_harabasz": -1.0, "n_clusters": 0}
     cents = centroids(df, cluster, features)
     n, k = sum(r["n"] for r in cents), len(cents)
@@ -130,45 +121,34 @@ def separation_scores(df: DataFrame, cluster: str, features: Sequence[str], key:
     between = float((size * ((m - center) ** 2).sum(1)).sum())
     within = sum(sp[r["cluster"]][1] for r in cents)
     ch = 1.0 if within == 0 else between * (n - k) / (within * (k - 1.0))
-    sil = silhouette(df, cluster, features, key, sample).agg(F.avg("s")).first()[0]
+    sil = silhouette(df, cluster, features).agg(F.avg("s")).first()[0]
     return {"silhouette": round(float(sil if sil is not None else -1.0), 6), "davies_bouldin": round(db, 6),
             "calinski_harabasz": round(float(ch), 6), "n_clusters": k}
 
 
-def silhouette(df: DataFrame, cluster: str, features: Sequence[str], key: Sequence[str],
-               sample: int = MAX_SAMPLE) -> DataFrame:
-    """(cluster, s) per sampled row, Euclidean; the whole table up to `sample` rows."""
-    use = hash_sample(df.where(F.col(cluster) >= 0), key, sample)
-    d = _vectors(use, cluster, features)
-    rows = d.collect()  # at most `sample` rows
-    lab = np.array([r["cluster"] for r in rows])
-    mat = np.array([r["v"] for r in rows], float).reshape(len(rows), -1)
-    ids, inv, cnt = np.unique(lab, return_inverse=True, return_counts=True)
-    sc = df.sparkSession.sparkContext
-    data = sc.broadcast((mat, inv, cnt, ids))
-
-    def score(batches):
-        mat, inv, cnt, ids = data.value
-        onehot = np.zeros((len(inv), len(cnt)))
-        onehot[np.arange(len(inv)), inv] = 1.0
-        place = {int(c): i for i, c in enumerate(ids)}
-        for pdf in batches:
-            x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
-            own = np.array([place[int(c)] for c in pdf["cluster"]], dtype=int)
-            dist = np.empty((len(x), len(mat)))
-            for i in range(len(x)):
-                dist[i] = np.sqrt(((mat - x[i]) ** 2).sum(1))
-            tot = dist @ onehot
-            a = tot[np.arange(len(x)), own] / np.maximum(cnt[own] - 1, 1)
-            mean = tot / cnt
-            mean[np.arange(len(x)), own] = np.inf
-            b = mean.min(axis=1) if len(cnt) > 1 else np.zeros(len(x))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = np.where(cnt[own] > 1, np.nan_to_num((b - a) / np.maximum(a, b)), 0.0)
-            yield pd.DataFrame({"cluster": pdf["cluster"].astype("int64"), "s": s})
-
-    parts = max(1, min(sc.defaultParallelism, len(rows) // 64 + 1))
-    return d.repartition(parts).mapInPandas(score, "cluster long, s double")
+def silhouette(df: DataFrame, cluster: str, features: Sequence[str]) -> DataFrame:
+    """(cluster, s) of every row, with squared Euclidean distances; noise (negative labels) is left out.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size, mean and
+    mean squared norm, so one aggregate and one pass over the rows do, whatever their number.
+    A row that is alone in its cluster scores 0.
+    """
+    d = _vectors(df, cluster, features)
+    center = df.where(F.col(cluster) >= 0).agg(*[F.avg(F.col(c).cast("double")).alias(f"g{i}") for i, c in enumerate(features)]).first()
+    # distances do not change when all vectors move; small numbers keep them exact
+    d = d.select("cluster", F.zip_with("v", F.array(*[F.lit(float(g or 0.0)) for g in center]), lambda a, g: a - g).alias("v"))
+    norm = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    d = d.withColumn("q", norm("v"))
+    per = d.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(len(features))]).alias("m"), F.avg("q").alias("q"))
+    table = per.agg(F.sort_array(F.collect_list(F.struct("cluster", "n", "m", "q"))).alias("t"))  # one entry per cluster
+    gap = lambda r: F.greatest(F.lit(0.0), F.col("q") + r["q"] - 2.0 * F.aggregate(F.zip_with("v", r["m"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
+    far = F.transform("t", lambda r: F.struct(r["cluster"].alias("cluster"), r["n"].alias("n"), gap(r).alias("d")))
+    d = d.join(F.broadcast(table), F.lit(True)).select("cluster", far.alias("far"))
+    own = F.get(F.filter("far", lambda r: r["cluster"] == F.col("cluster")), F.lit(0))
+    other = F.array_min(F.transform(F.filter("far", lambda r: r["cluster"] != F.col("cluster")), lambda r: r["d"]))
+    d = d.select("cluster", own["n"].alias("n"), (own["d"] * own["n"] / F.greatest(own["n"] - 1, F.lit(1))).alias("a"), other.alias("b"))
+    s = F.when((F.col("n") > 1) & F.col("b").isNotNull() & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return d.select("cluster", s.alias("s"))
 
 
 def quality_report(scores: DataFrame, sizes: DataFrame) -> DataFrame:

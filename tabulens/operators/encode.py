@@ -124,11 +124,13 @@ def feature_matrix(df: DataFrame, key: Sequence[str], small_rows: int = SMALL_RO
             categorical.append(name)
         summary.append((name, what, r["median"] if what == "numeric" else None))
     med = {s[0]: s[2] for s in summary if s[1] == "numeric"}
+    holes = {r["column_name"]: r["null_count"] for r in prof}
     out = df.select(*[F.col(k).alias(f"_key_{k}") for k in key],
                     *[F.coalesce(F.col(c).cast("double"), F.lit(med[c])).alias(c) for c in numeric],
                     *categorical)
     for c in categorical:
-        out = encode_onehot(out, c, MAX_LEVELS, unknown="Unknown")
+        found = set(levels(df, c)) | ({"Unknown"} if holes[c] else set())
+        out = encode_onehot(out, c, unknown="Unknown", values=sorted(found))
     table = df.sparkSession.createDataFrame(summary, "column_name string, used_as string, fill_value double")
     return out, table
 

@@ -43,7 +43,6 @@ class Spec:
     trees: int = 80
     depth: int = 12
     rounds: int = 100
-    boosted_classes: int = 5
 
 
 def class_sizes(df: DataFrame, label: str) -> dict:
@@ -92,24 +91,26 @@ def _scaled(model) -> Pipeline:
     return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), model.setFeaturesCol("scaled")])
 
 
-def classification_candidates(spec: Spec, n_classes: int) -> dict[str, Callable]:
-    """Name to estimator builder; None marks a candidate that is skipped, with its reason as name suffix."""
+def classification_candidates(spec: Spec, n_classes: int, n: int) -> dict[str, Callable]:
+    """Name to estimator builder; None marks a candidate that is skipped. Linear penalties are 1 on
+    the sum of n losses, which is 1/n on Spark's mean."""
+    penalty = 1.0 / max(n, 1)
     w = {"labelCol": "label", "weightCol": "weight"}
     out: dict[str, Callable | None] = {
         "RandomForest": lambda: RandomForestClassifier(numTrees=spec.trees, maxDepth=spec.depth, minInstancesPerNode=2, seed=SEED, **w),
         # nearest built-in form of extremely randomised trees: no bootstrap, coarse random splits
         "ExtraTrees": lambda: RandomForestClassifier(numTrees=spec.trees, maxDepth=spec.depth, minInstancesPerNode=2, bootstrap=False,
                                                      featureSubsetStrategy="sqrt", maxBins=16, seed=SEED + 1, **w),
-        "LogisticRegression": lambda: _scaled(LogisticRegression(maxIter=100, tol=1e-4, regParam=0.01, **w)),
+        "LogisticRegression": lambda: _scaled(LogisticRegression(maxIter=100, tol=1e-4, regParam=penalty, **w)),
     }
-    svc = lambda: LinearSVC(maxIter=50, tol=1e-4, regParam=0.01, labelCol="label", weightCol="weight")
+    svc = lambda: LinearSVC(maxIter=50, tol=1e-4, regParam=penalty, labelCol="label", weightCol="weight")
     gbt = lambda: GBTClassifier(maxIter=spec.rounds, maxDepth=4, stepSize=0.05, subsamplingRate=0.85, seed=SEED, labelCol="label")
     if n_classes == 2:
         out["LinearSVC"] = lambda: _scaled(svc())
         out["GradientBoosting"] = gbt
     else:
         out["LinearSVC"] = lambda: _scaled(OneVsRest(classifier=svc().setFeaturesCol("scaled"), labelCol="label", weightCol="weight"))
-        out["GradientBoosting"] = (lambda: OneVsRest(classifier=gbt(), labelCol="label")) if n_classes <= spec.boosted_classes else None
+        out["GradientBoosting"] = lambda: OneVsRest(classifier=gbt(), labelCol="label")  # slow with many classes, never left out
     out["XGBoost"] = _xgboost("classification")
     return out
 
@@ -127,11 +128,12 @@ def regression_candidates(spec: Spec, n: int) -> dict[str, Callable]:
     }
 
 
-def text_candidates(n_classes: int) -> dict[str, Callable]:
+def text_candidates(n_classes: int, n: int) -> dict[str, Callable]:
+    penalty = 1.0 / max(n, 1)
     w = {"labelCol": "label", "weightCol": "weight"}
-    svc = lambda **k: LinearSVC(maxIter=30, tol=1e-4, regParam=0.01, labelCol="label", **k)
+    svc = lambda **k: LinearSVC(maxIter=30, tol=1e-4, regParam=penalty, labelCol="label", **k)
     return {
-        "LogisticRegression": lambda: LogisticRegression(maxIter=50, tol=1e-4, regParam=0.01, **w),
+        "LogisticRegression": lambda: LogisticRegression(maxIter=50, tol=1e-4, regParam=penalty, **w),
         "LinearSVC": (lambda: svc(weightCol="weight")) if n_classes == 2 else (lambda: OneVsRest(classifier=svc(), labelCol="label", weightCol="weight")),
         "MultinomialNB": lambda: NaiveBayes(modelType="multinomial", smoothing=1.0, labelCol="label"),
     }
@@ -247,7 +249,7 @@ def prepare(df: DataFrame, spec: Spec, folds: int = 3, min_class: int = 3) -> Pr
 
 def candidates_for(p: Prepared) -> dict[str, Callable | None]:
     if p.spec.task == "classification":
-        return classification_candidates(p.spec, len(p.labels))
+        return classification_candidates(p.spec, len(p.labels), p.train.count())
     return regression_candidates(p.spec, p.train.count())
 
 
@@ -352,9 +354,9 @@ def load(path: str) -> tuple[PipelineModel, PipelineModel]:
 def text_frame(df: DataFrame, key: str, text: str, target: str, max_features: int = 5000, folds: int = 3) -> tuple[DataFrame, list[str], int]:
     """Unit-length TF-IDF vectors with label, weight, part and fold; equal texts stay in one part.
 
-    Sparse vectors come from a pandas function over (positions, weights) of one text each.
     """
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
 
     from .sampling import choose_split, holdout
     from .vectorize import fit_vocabulary, sparse_rows, tfidf
@@ -371,9 +373,12 @@ def text_frame(df: DataFrame, key: str, text: str, target: str, max_features: in
     d = d.withColumn("fold", F.floor(hash_unit(by, 7) * folds).cast("long"))
     fitted = fit_vocabulary(d.where("part = 'train'"), text, max_features, 2 if how == "group" else 1, 0.95, lower=False)
     size = len(fitted[0])
-    to_vec = F.udf(lambda j, x: Vectors.sparse(size, j or [], x or []), VectorUDT())
+    # a sparse vector is a struct of (type 0, size, positions, values), read back from JSON in the JVM
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    raw = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), empty(F.col("j"), "int").alias("indices"), empty(F.col("x"), "double").alias("values"))
+    vector = F.from_json(F.to_json(F.struct(raw.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
     rows = sparse_rows(tfidf(d, key, text, max_features, lower=False, fitted=fitted), key)
     frame = d.select(key, "label", "weight", "part", "fold").join(rows, key, "left").select(
-        key, "label", "weight", "part", "fold", to_vec("j", "x").alias("features"))
+        key, "label", "weight", "part", "fold", vector.alias("features"))
     frame = few_splits(frame, one["n"]).persist()
     return frame, labels, folds

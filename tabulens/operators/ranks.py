@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ROWS_PER_BUCKET = 1_000_000
 
 
@@ -103,3 +105,15 @@ def cumulative_share(df: DataFrame, rank: str, value: str, alias: str = "cumulat
 def number_rows(df: DataFrame, order: Sequence, alias: str = "rank") -> DataFrame:
     """Rank 1..n on a small result table (leaderboards, findings, features)."""
     return df.withColumn(alias, F.row_number().over(W.orderBy(*order)).cast("long"))
+
+
+def ordered_places(df: DataFrame, order: Sequence, alias: str = "place") -> DataFrame:
+    """Every row with its place (from 1) in the given order of unique keys: ranges are sorted, written
+    once to the checkpoint folder and numbered by their offsets, so no task sees the whole table."""
+    fixed = cut_lineage(df.orderBy(*order).withColumns({"_i": F.monotonically_increasing_id()}))
+    fixed = fixed.withColumn("_p", F.shiftright("_i", 33))
+    sizes = fixed.groupBy("_p").agg(F.count("*").alias("_c"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))  # one row per range
+    place = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_o") + 1
+    return fixed.join(F.broadcast(offsets), "_p").withColumn(alias, place).drop("_p", "_i", "_o")

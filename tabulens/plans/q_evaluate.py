@@ -212,20 +212,20 @@ VEC_SCORES = f"""{I.VECTORS}, {I.long_sql('vec', I.VECTOR_FEATURES, 'vec_id, clu
   cd as (select a.cluster c1, b.cluster c2, sqrt(sum((a.m - b.m) ** 2)) d from ce a join ce b using (feature) where a.cluster <> b.cluster group by 1, 2),
   db as (select avg(r) v from (select c1, max((x.s + y.s) / d) r from cd join sc x on x.cluster = c1 join sc y on y.cluster = c2 group by 1)),
   kn as (select count(*) k, sum(n) n, sum(ss) w from sc), bt as (select sum(ce.n * (m - g) ** 2) b from ce join ge using (feature)),
-  pw as (select a.vec_id, a.cluster c, b.cluster oc, sqrt(sum((a.v - b.v) ** 2)) d, b.vec_id bid from long a join long b using (feature) group by a.vec_id, a.cluster, b.vec_id, b.cluster),
+  pw as (select a.vec_id, a.cluster c, b.cluster oc, sum((a.v - b.v) ** 2) d, b.vec_id bid from long a join long b using (feature) group by a.vec_id, a.cluster, b.vec_id, b.cluster),
   pm as (select vec_id, c, oc, case when c = oc then sum(d) / (count(*) - 1) else avg(d) end m from pw group by 1, 2, 3),
   si as (select vec_id, c, (min(case when c <> oc then m end) - max(case when c = oc then m end)) / greatest(min(case when c <> oc then m end), max(case when c = oc then m end)) s from pm group by 1, 2)"""
 
 
 @query("clu07_silhouette_per_cluster", f"with {VEC_SCORES} select c as cluster, count(*) as n, round(avg(s), 5) + 0.0 as silhouette from si group by 1")
 def _(t):
-    s = clusters.silhouette(I.vectors(t), "cluster", I.VECTOR_FEATURES, ["vec_id"])
+    s = clusters.silhouette(I.vectors(t), "cluster", I.VECTOR_FEATURES)
     return s.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("s"), 5).alias("silhouette"))
 
 
 @query("clu07_separation_scores", f"with {VEC_SCORES} select k as n_clusters, round((select avg(s) from si), 4) + 0.0 as silhouette, round(db.v, 4) as davies_bouldin, round(b * (n - k) / (w * (k - 1)), 4) as calinski_harabasz from kn, bt, db")
 def _(t):
-    s = clusters.separation_scores(I.vectors(t), "cluster", I.VECTOR_FEATURES, ["vec_id"])
+    s = clusters.separation_scores(I.vectors(t), "cluster", I.VECTOR_FEATURES)
     d = t.spark.createDataFrame([(s["n_clusters"], s["silhouette"], s["davies_bouldin"], s["calinski_harabasz"])],
                                 "n_clusters long, silhouette double, davies_bouldin double, calinski_harabasz double")
     return d.withColumns({c: F.round(c, 4) for c in ("silhouette", "davies_bouldin", "calinski_harabasz")})
@@ -254,7 +254,7 @@ def _(t):
 
 
 def vector_quality(t):
-    s = clusters.separation_scores(I.vectors(t), "cluster", I.VECTOR_FEATURES, ["vec_id"])
+    s = clusters.separation_scores(I.vectors(t), "cluster", I.VECTOR_FEATURES)
     d = t.spark.createDataFrame([(s["n_clusters"], s["silhouette"], s["davies_bouldin"], s["calinski_harabasz"])],
                                 "n_clusters long, silhouette double, davies_bouldin double, calinski_harabasz double")
     return clusters.quality_report(d, clusters.cluster_sizes(I.vectors(t), "cluster"))

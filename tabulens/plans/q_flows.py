@@ -97,13 +97,13 @@ def _(t):
 
 @query("run_supervised")
 def _(t):
-    r = flows.supervised(price_table(t), PRICE, only=["Ridge", "LinearRegression", "RandomForest"])
+    r = flows.supervised(price_table(t), PRICE)
     return r.leaderboard.drop("reason")
 
 
 @query("run_unsupervised")
 def _(t):
-    return flows.unsupervised(t.customer, "c_custkey", ks=(2, 3), families=("KMeans",)).profiles
+    return flows.unsupervised(t.customer, "c_custkey").profiles
 
 
 @query("run_root_cause")

@@ -24,8 +24,8 @@ def quality_table(t):
                     (F.regexp_count(c, F.lit("\n")) + 1).cast("double").alias("n_lines"))
 
 
-QUALITY = models.Spec("quality", "classification", ["doc_id"], ["n_chars", "n_words", "mark_share", "n_lines"], ["lang", "source"], trees=20, depth=5, rounds=10)
-PRICE = models.Spec("goal", "regression", ["p_partkey"], ["p_size", "noise"], ["p_brand"], trees=20, depth=5, rounds=10)
+QUALITY = models.Spec("quality", "classification", ["doc_id"], ["n_chars", "n_words", "mark_share", "n_lines"], ["lang", "source"])
+PRICE = models.Spec("goal", "regression", ["p_partkey"], ["p_size", "noise"], ["p_brand"])
 
 
 def price_table(t):
@@ -54,8 +54,8 @@ def _(t):
 def _(t):
     d = t.documents.join(t.labels, "doc_id").select("doc_id", "quality", X.normalize_english(F.col("text")).alias("text"))
     spec = models.Spec("quality", "classification", ["doc_id"])
-    frame, labels, folds = models.text_frame(d, "doc_id", "text", "quality", max_features=500)
-    return models.leaderboard(frame.where("part = 'train'"), models.text_candidates(len(labels)), spec, folds)
+    frame, labels, folds = models.text_frame(d, "doc_id", "text", "quality")
+    return models.leaderboard(frame.where("part = 'train'"), models.text_candidates(len(labels), frame.count()), spec, folds)
 
 
 def fitted(t, spec, table, name):
@@ -153,7 +153,7 @@ def _(t):
 
 @query("clu03_two_phase_ward")
 def _(t):
-    return clustering.two_phase_ward(scaled_planted(t), I.PLANTED_FEATURES, [4], ["id"], micro=200)[4].select("id", "cluster")
+    return clustering.two_phase_ward(scaled_planted(t), I.PLANTED_FEATURES, [4], ["id"])[4].select("id", "cluster")
 
 
 @query("clu04_bisecting_kmeans")
@@ -168,7 +168,7 @@ def _(t):
 
 @query("clu08_candidate_comparison")
 def _(t):
-    board, _labelled = clustering.compare(scaled_planted(t), I.PLANTED_FEATURES, ["id"], ks=(2, 3, 4), ward_ks=(2, 3, 4))
+    board, _labelled = clustering.compare(scaled_planted(t), I.PLANTED_FEATURES, ["id"])
     return board
 
 

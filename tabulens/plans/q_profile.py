@@ -470,14 +470,12 @@ def _(t):
 # --- sorting and sets ----------------------------------------------------------------------
 
 @query("srt02_mixed_sort", """select row_number() over (order by try_cast(v as double) asc nulls last, lower(v), k)::bigint as place, k, v from (
-  select c_custkey as k, case when c_custkey % 2 = 0 then cast(c_custkey * 37 % 1000 as varchar) else c_name end as v from customer)
-  order by place limit 40""")
+  select c_custkey as k, case when c_custkey % 2 = 0 then cast(c_custkey * 37 % 1000 as varchar) else c_name end as v from customer)""")
 def _(t):
     k = F.col("c_custkey")
     d = t.customer.select(k.alias("k"), F.when(k % 2 == 0, (k * 37 % 1000).cast("string")).otherwise(F.col("c_name")).alias("v"))
-    from ..operators.ranks import number_rows
-    order = [*clean.mixed_order("v"), F.col("k")]
-    return number_rows(d.orderBy(*order).limit(40), order, "place")
+    from ..operators.ranks import ordered_places
+    return ordered_places(d, [*clean.mixed_order("v"), F.col("k")])
 
 
 @query("srt04_largest_errors", f"""with {I.PRED_REG} select l_orderkey, l_linenumber, round(abs(actual - predicted), 4) as absolute_error from pred_reg

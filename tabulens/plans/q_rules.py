@@ -154,9 +154,9 @@ def _(t):
     return fd.rank_findings(all_findings(t)).select(*SHOW, "rank")
 
 
-@query("srt01_severity_order", f"with {ALL_CTES} select finding_id, severity, rank from ranked where rank <= 10")
+@query("srt01_severity_order", f"with {ALL_CTES} select finding_id, severity, rank from ranked")
 def _(t):
-    return fd.rank_findings(all_findings(t)).where("rank <= 10").select("finding_id", "severity", "rank")
+    return fd.rank_findings(all_findings(t)).select("finding_id", "severity", "rank")
 
 
 @query("prj12_finding_filters", f"""with {ALL_CTES} select 'leakage' as list, finding_id from ranked where category = 'leakage_risk' union all select 'urgent', finding_id from ranked where severity in ('critical', 'high')
