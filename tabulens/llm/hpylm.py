@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,10 +111,20 @@ class Spelling:
         self.two = self._predict(c2, t2, self.one[None, :, :], d2)
 
 
+def squeeze(ids: np.ndarray) -> bytes:
+    """Ids as four planes of bytes, compressed: frequent words have small ids, so three planes are nearly empty."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def restore(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def tokenise(docs: DataFrame, learn: Column, id_col: str) -> DataFrame:
     """Blocks of tokenised documents, written to the shared folder and read again.
 
-    Rows with `word` null are documents: (block, id, held_out, ids as packed int32, no); the
+    Rows with `word` null are documents: (block, id, held_out, ids compressed, no); the
     others are the block's vocabulary: (block, no, word, n) with n training tokens."""
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     kind = slim.schema["id"].dataType.simpleString()
@@ -126,11 +137,11 @@ def tokenise(docs: DataFrame, learn: Column, id_col: str) -> DataFrame:
         tokens = 0
 
         def flush():
-            block = uuid.uuid4().hex
+            block = uuid.uuid4().int >> 65  # 63 bits
             for i in range(0, len(rows), 2000):
                 part = rows[i:i + 2000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(part)), pa.array([r[0] for r in part], id_type), pa.array([r[1] for r in part], pa.bool_()), pa.array([r[2].tobytes() for r in part], pa.binary()),
+                    [pa.array([block] * len(part)), pa.array([r[0] for r in part], id_type), pa.array([r[1] for r in part], pa.bool_()), pa.array([squeeze(r[2]) for r in part], pa.binary()),
                      pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.int64())], names=names)
             n = np.zeros(len(place), np.int64)
             learned = [ids for _, held, ids in rows if not held]
@@ -156,12 +167,12 @@ def tokenise(docs: DataFrame, learn: Column, id_col: str) -> DataFrame:
         if rows:
             yield from flush()
 
-    out = slim.mapInArrow(run, f"block string, id {kind}, held_out boolean, ids binary, no int, word binary, n long")
+    out = slim.mapInArrow(run, f"block long, id {kind}, held_out boolean, ids binary, no int, word binary, n long")
     folder = f"{shared_folder(docs.sparkSession)}/blocks-{uuid.uuid4().hex}"
-    out.withColumn("is_word", F.col("word").isNotNull()).write.partitionBy("is_word").parquet(folder)
+    out.withColumn("is_word", F.col("word").isNotNull()).write.partitionBy("is_word").option("compression", "zstd").parquet(folder)
     spark = docs.sparkSession
     schema = slim.schema["id"].dataType.simpleString()
-    return spark.read.schema(f"block string, id {schema}, held_out boolean, ids binary, no int, word binary, n long, is_word boolean").parquet(folder)
+    return spark.read.schema(f"block long, id {schema}, held_out boolean, ids binary, no int, word binary, n long, is_word boolean").parquet(folder)
 
 
 def word_scores(counts: DataFrame, total: int, once: int, twice: int, seed: int = 7) -> DataFrame:
@@ -262,7 +273,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataFrame:
         base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
         out = []
         for packed in left.column("ids"):
-            i = np.frombuffer(packed.as_buffer(), np.int32)
+            i = restore(packed.as_py())
             out.append((len(i), int((c[i] > 0).sum()), float(base[i].sum()), float(logp[i].sum())))
         cols = list(zip(*out))
         return pa.table({"id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()),

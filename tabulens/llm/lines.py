@@ -46,6 +46,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_
     where the first copy stands (its document and place). Their union gives all repeated runs."""
     seq = cut_lineage(_sequence(docs, id_col))
     again = seq.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    again = cut_lineage(again)  # a plain table on this side lets Spark split a line that fills much of the other
     d = seq.join(again, "id")
     own = Window.partitionBy("key").orderBy("no")
     d = d.withColumn("island", F.col("no") - F.row_number().over(own))  # neighbours that all occur twice
@@ -82,6 +83,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_
     runs = runs.join(at.select("key", F.col("no").alias("tail"), F.col("r").alias("y")), ["key", "tail"]).withColumn("y", F.get("y", F.col("level")))
     runs = cut_lineage(runs.withColumn("here", F.struct(F.coalesce("owner", F.lit((1 << 63) - 1)).alias("owner"), "key", "start")).select("key", "start", "m", "x", "y", "here"))
     interval = runs.groupBy("m", "x", "y").agg(F.min("here").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    interval = cut_lineage(interval)
     return runs.join(interval, ["m", "x", "y"]).where("here <> first").select("key", "start", "m", "first")
 
 
