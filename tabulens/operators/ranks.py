@@ -73,27 +73,39 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
 
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None = None,
              rows_per_bucket: int = ROWS_PER_BUCKET, floor: int = 1_000_000) -> DataFrame:
-    """(feature_a, feature_b, n, spearman_r) over pairwise complete rows."""
-    rows = df.count() if rows is None else rows
-    items = [F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
-                      F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]
-    both = (df.select(F.inline(F.array(*items))).where("x is not null and y is not null")
-            .groupBy("pair", "x", "y").agg(F.count("*").alias("cnt")))
-    for side in ("x", "y"):
-        freq = both.groupBy("pair", side).agg(F.sum("cnt").alias("c"), F.count("*").alias("w"))
-        ranks = running_totals(freq, "pair", side, ["c"], rows, rows_per_bucket).select(
-            "pair", side, "w", (F.col("c_upto") - (F.col("c") - 1) / 2.0).alias(f"r{side}"))
-        both = lookup(both, ranks, ["pair", side], "w", rows, floor)
-    mid = both.groupBy("pair").agg(F.sum("cnt").alias("n"))
-    # one row per requested pair
-    both = both.join(F.broadcast(mid), "pair").withColumns({
-        "dx": F.col("rx") - (F.col("n") + 1) / 2.0, "dy": F.col("ry") - (F.col("n") + 1) / 2.0})
-    out = both.groupBy("pair").agg(
-        F.first("n").alias("n"), F.sum(F.expr("cnt*dx*dy")).alias("sxy"),
-        F.sum(F.expr("cnt*dx*dx")).alias("sxx"), F.sum(F.expr("cnt*dy*dy")).alias("syy"))
-    name = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1)
-    return out.select(name(0).alias("feature_a"), name(1).alias("feature_b"), "n",
-                      F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy"))).alias("spearman_r"))
+    """(feature_a, feature_b, n, spearman_r) over pairwise complete rows.
+
+    A column is ranked once for all pairs; only where a partner has NULLs in other rows is it
+    ranked again among the rows both have. All ranks come from one long table.
+    """
+    pairs = list(pairs)
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: f"c{i}" for i, c in enumerate(cols)}
+    base = cut_lineage(df.select(*[F.col(c).cast("double").alias(at[c]) for c in cols]).withColumn("_row", F.monotonically_increasing_id()))
+    full = base.agg(F.count("*").alias("rows"), *[F.count(x).alias(x) for x in at.values()],
+                    *[F.count_if(F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    rows = full["rows"]
+    jobs: dict[tuple[str, str | None], int] = {}
+    sides = []
+    for i, (a, b) in enumerate(pairs):
+        sides.append([jobs.setdefault((c, None if full[at[c]] == full[f"p{i}"] else o), len(jobs)) for c, o in ((a, b), (b, a))])
+    items = [F.struct(F.lit(j).alias("job"), (F.col(at[c]) if o is None else F.when(F.col(at[o]).isNotNull(), F.col(at[c]))).alias("v")) for (c, o), j in jobs.items()]
+    long = base.select("_row", F.inline(F.array(*items))).where("v is not null")
+    freq = long.groupBy("job", "v").agg(F.count("*").alias("c"))
+    ranks = running_totals(freq, "job", "v", ["c"], rows, rows_per_bucket).select("job", "v", F.col("c").alias("w"), (F.col("c_upto") - (F.col("c") - 1) / 2.0).alias("r"))
+    placed = lookup(long, ranks, ["job", "v"], "w", rows, floor)
+    wide = placed.groupBy("_row").agg(*[F.max(F.when(F.col("job") == j, F.col("r"))).alias(f"r{j}") for j in jobs.values()])
+    sums = []
+    for i, (x, y) in enumerate(sides):
+        mid = (full[f"p{i}"] + 1) / 2.0
+        dx, dy = F.col(f"r{x}") - mid, F.col(f"r{y}") - mid
+        both = dx.isNotNull() & dy.isNotNull()
+        sums += [F.sum(dx * dy).alias(f"xy{i}"), F.sum(F.when(both, dx * dx)).alias(f"xx{i}"), F.sum(F.when(both, dy * dy)).alias(f"yy{i}")]
+    out = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.lit(full[f"p{i}"]).cast("long").alias("n"),
+                    F.try_divide(F.col(f"xy{i}"), F.sqrt(F.col(f"xx{i}") * F.col(f"yy{i}"))).alias("spearman_r")) for i, (a, b) in enumerate(pairs) if full[f"p{i}"]]
+    if not out:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, n long, spearman_r double")
+    return wide.agg(*sums).select(F.inline(F.array(*out)))
 
 
 def cumulative_share(df: DataFrame, rank: str, value: str, alias: str = "cumulative") -> DataFrame:
