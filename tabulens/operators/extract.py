@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -30,11 +30,13 @@ PATTERN_FIELDS = {"title": "h1, h2, h3, h4, [class*=title], .titleline a, a.stor
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent", "nth")
+    __slots__ = ("tag", "attrs", "kids", "parent", "nth", "tags")
 
     def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
-        self.nth = 1 + sum(1 for k in parent.kids if isinstance(k, Node) and k.tag == tag) if parent else 1
+        self.tag, self.attrs, self.parent, self.kids, self.tags = tag, attrs, parent, [], {}
+        self.nth = 1
+        if parent:
+            self.nth = parent.tags[tag] = parent.tags.get(tag, 0) + 1
 
     def walk(self) -> Iterator["Node"]:
         stack = [k for k in reversed(self.kids) if isinstance(k, Node)]
@@ -169,49 +171,64 @@ def select(root: Node, chains: list) -> Iterator[Node]:
             yield n
 
 
-def extract_fields(pages: DataFrame, container: str, item: str, fields: Sequence[dict]) -> DataFrame:
-    """(page_id, url, position, field_name, raw, href, src, css_class, found) per item and field.
+FIELD = "field_name string, raw string, href string, src string, css_class string, found boolean"
 
-    Parsing is the only Python step; typed values are column expressions on its output.
-    """
+
+def _items(pages: DataFrame, container: str, item: str, fields: Sequence[dict]) -> DataFrame:
+    """(page_id, url, position, fields): one row per item with an array of its fields."""
     items_sel = compile_selector(f"{container} {item}".strip())
     specs = [(f["name"], compile_selector(f["selector"])) for f in fields]
 
     def run(batches):
+        names = ["page_id", "url", "position", "fields"]
         for pdf in batches:
             out = []
             for pid, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
                 for pos, node in enumerate(select(parse(html), items_sel)):
+                    row = []
                     for name, chains in specs:
                         el = next(select(node, chains), None) if chains else node
                         if el is None:
-                            out.append((pid, url, pos, name, None, None, None, None, False))
+                            row.append({"field_name": name, "raw": None, "href": None, "src": None, "css_class": None, "found": False})
                         else:
                             a = el.attrs
                             src = a.get("src") or a.get("data-src") or a.get("data-lazy") or ""
-                            out.append((pid, url, pos, name, el.text(), a.get("href", ""), src, a.get("class", ""), True))
-            yield pd.DataFrame(out, columns=["page_id", "url", "position", "field_name", "raw", "href", "src", "css_class", "found"])
+                            row.append({"field_name": name, "raw": el.text(), "href": a.get("href", ""), "src": src, "css_class": a.get("class", ""), "found": True})
+                    out.append((pid, url, pos, row))
+                if len(out) >= 2_000:  # not a whole batch of pages at once
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    parts = FIELD.replace(" ", ":").replace(",:", ",")
+    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, position long, fields array<struct<{parts}>>")
 
-    return pages.select("page_id", "url", "html").mapInPandas(
-        run, "page_id long, url string, position long, field_name string, raw string, href string, src string, css_class string, found boolean")
+
+def extract_fields(pages: DataFrame, container: str, item: str, fields: Sequence[dict]) -> DataFrame:
+    """(page_id, url, position, field_name, raw, href, src, css_class, found) per item and field.
+
+    Parsing is the only Python step; typed values are column expressions on its output.
+    """
+    return _items(pages, container, item, fields).select("page_id", "url", "position", F.inline("fields"))
 
 
-def field_value(types: dict[str, str]) -> Column:
+def field_value(types: dict[str, str], get: Callable[[str], Column] = F.col) -> Column:
     """Typed value of an extracted field: text, image, link, price; rating words become digits."""
-    kind = F.element_at(F.create_map(*[x for k, v in types.items() for x in (F.lit(k), F.lit(v))]), F.col("field_name"))
+    kind = F.element_at(F.create_map(*[x for k, v in types.items() for x in (F.lit(k), F.lit(v))]), get("field_name"))
     full = lambda c: F.when(c != "", X.resolve_url(F.col("url"), c)).otherwise("")
-    val = (F.when(kind == "image", full(F.col("src"))).when(kind == "link", full(F.col("href")))
-           .when(kind == "price", X.clean_price(F.col("raw")))
-           .otherwise(F.coalesce(X.star_rating(F.col("css_class")), X.strip(F.col("raw")))))
+    val = (F.when(kind == "image", full(get("src"))).when(kind == "link", full(get("href")))
+           .when(kind == "price", X.clean_price(get("raw")))
+           .otherwise(F.coalesce(X.star_rating(get("css_class")), X.strip(get("raw")))))
     return F.nullif(val, F.lit(""))
 
 
 def extract_items(pages: DataFrame, container: str, item: str, fields: Sequence[dict]) -> DataFrame:
     """Long table (page_id, position, field_name, value, kept); an item is kept when a field has a value."""
-    raw = extract_fields(pages, container, item, fields)
-    d = raw.withColumn("value", field_value({f["name"]: f.get("type", "text") for f in fields}))
-    kept = F.max(F.col("value").isNotNull()).over(W.partitionBy("page_id", "position"))
-    return d.select("page_id", "url", "position", "field_name", "value", kept.alias("kept"))
+    types = {f["name"]: f.get("type", "text") for f in fields}
+    typed = F.transform("fields", lambda f: F.struct(f["field_name"].alias("field_name"), field_value(types, lambda n: f[n]).alias("value")))
+    d = _items(pages, container, item, fields).withColumn("fields", typed)
+    d = d.withColumn("kept", F.exists("fields", lambda f: f["value"].isNotNull()))
+    return d.select("page_id", "url", "position", F.inline("fields"), "kept")
 
 
 def number_items(long: DataFrame, limit: int = 0) -> DataFrame:

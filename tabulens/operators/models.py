@@ -313,7 +313,7 @@ def shuffled(df: DataFrame, col: str, key: Sequence[str], buckets: int = 256) ->
     return d.withColumn(col, F.when(first_row, last).otherwise(prev)).drop("_h", "_b")
 
 
-def permutation_importance(raw: DataFrame, p: Prepared, model, buckets: int = 16) -> DataFrame:
+def permutation_importance(raw: DataFrame, p: Prepared, model, rows_per_bucket: int = 100_000) -> DataFrame:
     """Loss of R2 or accuracy when one input column is exchanged between rows."""
     spec = p.spec
     test = raw.join(p.test.select(*spec.key, "label"), spec.key)
@@ -325,6 +325,7 @@ def permutation_importance(raw: DataFrame, p: Prepared, model, buckets: int = 16
         return got.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
 
     base = value(test)
+    buckets = max(16, p.test.count() // rows_per_bucket)
     rows = [(c, float(base - value(shuffled(test, c, spec.key, buckets)))) for c in [*spec.numeric, *spec.categorical]]
     d = raw.sparkSession.createDataFrame(rows, "feature string, drop double")
     return number_rows(d.withColumn("drop", F.round("drop", 6)), [F.desc("drop"), "feature"])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+ROWS_PER_RANGE = 100_000
+
 
 def key_hash(keys: Sequence[str], seed: int = 42) -> Column:
     """Hex digest of the key: the same row gets the same place on any cluster."""
@@ -26,12 +29,16 @@ def hash_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> D
     return df.withColumn("_h", key_hash(keys, seed)).orderBy("_h", *keys).limit(n).select(*cols)
 
 
-def _place_in_class(df: DataFrame, label: str, keys: Sequence[str], seed: int, digits: int):
+def _place_in_class(df: DataFrame, label: str, keys: Sequence[str], seed: int, digits: int | None):
     """Rank of a row inside its class in hash order, and the class size.
 
-    A class is cut into 16^digits equal hash ranges, so a class that holds most of the table
-    still spreads over many tasks; range sizes (classes x ranges rows) give the offsets.
+    A class is cut into 16^digits equal hash ranges (by default so many that the largest class
+    has about `ROWS_PER_RANGE` rows in each), so a class that holds most of the table still
+    spreads over many tasks; range sizes (classes x ranges rows) give the offsets.
     """
+    if digits is None:
+        largest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        digits = max(2, math.ceil(math.log(max(largest / ROWS_PER_RANGE, 1), 16)))
     d = df.withColumn("_h", key_hash(keys, seed)).withColumn("_p", F.substring("_h", 1, digits))
     sizes = d.groupBy(label, "_p").agg(F.count("*").alias("_c"))
     before = W.partitionBy(label).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
@@ -46,7 +53,7 @@ def _place_in_class(df: DataFrame, label: str, keys: Sequence[str], seed: int, d
 
 
 def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int = 3, seed: int = 42,
-                     digits: int = 2) -> DataFrame:
+                     digits: int | None = None) -> DataFrame:
     """Column `fold` 0..k-1, each class spread evenly over the folds."""
     cols = df.columns
     return (_place_in_class(df, label, keys, seed, digits)
@@ -55,7 +62,7 @@ def stratified_folds(df: DataFrame, label: str, keys: Sequence[str], k: int = 3,
 
 def holdout(df: DataFrame, keys: Sequence[str], how: str = "shuffle", label: str | None = None,
             group: str | None = None, test_share: float = 0.20, seed: int = 42,
-            digits: int = 2) -> DataFrame:
+            digits: int | None = None) -> DataFrame:
     """Column `part` train / test.
 
     shuffle: by key hash. stratified: the first share of every class in hash order.
