@@ -22,11 +22,17 @@ def place(t, name: str) -> str:
     return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("fea03_nearest_neighbour_fill")
+NEAR = """(select a.c_custkey, round(avg(v), 4) as v from (select a.c_custkey, d.{want} as v, row_number() over (partition by a.c_custkey order by (d.{by} - a.{by}) ** 2, d.{want}) as r
+  from b a join b d on a.{want} is null and a.{by} is not null and d.{want} is not null and d.{by} is not null) a where r <= 5 group by 1)"""
+
+
+@query("fea03_nearest_neighbour_fill", f"""with b as (select c_custkey, case when c_custkey % 7 <> 0 then c_acctbal end as x, case when c_custkey % 5 <> 0 then cast(c_nationkey as double) end as y from customer),
+  fx as {NEAR.format(want='x', by='y')}, fy as {NEAR.format(want='y', by='x')}
+  select b.c_custkey, round(coalesce(x, fx.v, (select avg(x) from b)), 4) as c_acctbal, round(coalesce(y, fy.v, (select avg(y) from b)), 4) as nation from b left join fx using (c_custkey) left join fy using (c_custkey)""")
 def _(t):
     k = F.col("c_custkey")
     d = t.customer.select("c_custkey", F.when(k % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"), F.when(k % 5 != 0, F.col("c_nationkey").cast("double")).alias("nation"))
-    return impute.knn_fill(d, ["c_acctbal", "nation"], ["c_custkey"])
+    return impute.knn_fill(d, ["c_acctbal", "nation"], ["c_custkey"]).withColumns({c: F.round(c, 4) for c in ("c_acctbal", "nation")})
 
 
 @query("snk01_cleaned_tables", """select 'csv' as fmt, count(*) as rows, round(sum(o_totalprice), 2) as total from orders union all select 'parquet', count(*), round(sum(o_totalprice), 2) from orders""")
@@ -56,9 +62,9 @@ def _(t):
     return t.spark.read.parquet(out)
 
 
-@query("snk05_model_round_trip")
+@query("snk05_model_round_trip", "select count(*) as n_rows, 0::bigint as differing from part")
 def _(t):
-    """A saved and reloaded model scores like the original."""
+    """A saved and reloaded model scores every row like the original."""
     from ..operators import models
     d = price_table(t)
     p = models.prepare(d, PRICE)
@@ -68,7 +74,7 @@ def _(t):
     feats, again = models.load(out)
     a = models.score_new(p.features, model, [], d, ["p_partkey"])
     b = models.score_new(feats, again, [], d, ["p_partkey"]).withColumnRenamed("prediction", "reloaded")
-    return a.join(b, "p_partkey")
+    return a.join(b, "p_partkey").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("prediction").eqNullSafe(F.col("reloaded"))).alias("differing"))
 
 
 HIST = "hist as (select event_id as id, ts as timestamp, user_id, value from events), kept as (select * from hist where id not in (select event_id from events where event_type = 'error') order by timestamp desc, id limit 50)"

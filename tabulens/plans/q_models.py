@@ -113,11 +113,14 @@ def _(t):
     return models.spread_warning(metrics, p.train)
 
 
-@query("mod17_score_new_rows")
+@query("mod17_score_new_rows", "select count(*) as n_rows, count(*) as known_class, count(*) as fitting_id, count(*) as sure from documents join labels using (doc_id)")
 def _(t):
+    """Every new row gets a known class, the class's number and a confidence between 1 / classes and 1."""
     d = quality_table(t)
     p, m, _pred, _metrics = fitted(t, QUALITY, d, "LogisticRegression")
-    return models.score_new(p.features, m, p.labels, d.drop("quality").withColumn("quality", F.lit(None).cast("int")), ["doc_id"])
+    got = models.score_new(p.features, m, p.labels, d.drop("quality").withColumn("quality", F.lit(None).cast("int")), ["doc_id"])
+    return got.agg(F.count("*").alias("n_rows"), F.count_if(F.col("prediction").isin("0", "1")).alias("known_class"),
+                   F.count_if(F.col("prediction") == F.col("class_id").cast("string")).alias("fitting_id"), F.count_if((F.col("confidence") >= 0.5) & (F.col("confidence") <= 1)).alias("sure"))
 
 
 @query("eva08_confidence_histogram")
