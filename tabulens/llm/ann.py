@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 
-SAMPLE = 8000  # different vectors that are learned from at most
+SAMPLE = 8000  # different vectors that are learned from, about
 PER_PART = 125  # sample vectors per part
 NEIGHBOURS = 10  # of a sample vector in the graph
 BLOCK = 4096  # entries of a part that one group holds
@@ -177,7 +177,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     there are fewer than k in the visited parts; queries are rows like those of `vectors`, and
     repeated rows count once. Without sound vectors the result is empty."""
     index = entries(vectors, id_col, vec_col, k)
-    rows = index.select("vec").orderBy(F.xxhash64("key")).limit(sample).toArrow().column("vec").to_pylist()
+    share = int(1_000_003 * min(1.0, sample / max(index.count(), 1))) + 1
+    picked = index.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < share).select("key", "vec").toArrow()
+    rows = picked.sort_by("key").column("vec").to_pylist()
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     asked = asked.withColumn("key", F.concat_ws(":", F.xxhash64("v"), F.xxhash64(F.reverse("v")))).select("query_id", "key").distinct()
     asked = cut_lineage(asked.join(index.select("key"), "key"))
