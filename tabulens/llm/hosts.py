@@ -6,8 +6,10 @@ distrust starts at hosts of which more than half are blocked and follows links b
 links to a blocked host loses). Both are personalised PageRanks. A host is blocked if its
 distrust exceeds its trust; a host that neither reaches is allowed.
 
-Ranks are integers (40 binary digits of mass, shares of 20 digits), so sums do not depend on
-their order and every run gives the same verdicts.
+Ranks are integers, so sums do not depend on their order and every run gives the same verdicts.
+Verdicts compare ranks of 76 binary digits of mass that pass on `rank * w div all_w` exactly,
+however heavy a host's links are. The ranks that are shown have the statement's units (40 digits
+of mass, shares of 20 digits): a host whose share is below 2^-20 shows 0 and is still judged.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from ..session import cut_lineage
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 ROUNDS = 20
 MASS = 1 << 40
+FINE = 1 << 76  # mass of the ranks that decide; times the weight of a host's links (up to 2^40) it fits decimal(38,0)
 FOLLOW = 217  # of 256: how much of a rank is passed on
 URL = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)(?:href|src)[\x20\t\r\n]*=[\x20\t\r\n]*["']?[\x20\t\r\n]*(?:https?:)?//([^/?#"'<>:\x20\t\r\n]+)"""
@@ -48,32 +51,46 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, share): links between different hosts; shares of a source add up to at most 2^20.
-    A page counts once for each host it links to."""
+    """(src, dst, w): links between different hosts. A page counts once for each host it links to."""
     raw = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), 1), fold))).alias("dst"))
     pairs = cut_lineage(raw.where("dst <> src").groupBy("src", "dst").agg(F.count("*").alias("w")))
     return pairs
 
 
+def whole(c: Column | int) -> Column:
+    return (F.lit(str(c)) if isinstance(c, int) else c).cast("decimal(38,0)")
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """a div b of whole decimals (`div` itself gives a bigint)."""
+    return whole((a - a % b) / b)
+
+
 def propagate(links: DataFrame, trusted: DataFrame, blocked: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) of every host that either reaches. links: (src, dst, w)."""
+    """(host, trust, distrust, distrusted) of every host that either reaches. links: (src, dst, w).
+
+    `distrusted` compares the fine ranks; trust and distrust are in the units of the statement."""
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "w").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "w"))
     out = both.groupBy("kind", "host").agg(F.sum("w").alias("all_w"))
-    share = cut_lineage(both.join(out, ["kind", "host"]).select("kind", "host", "to", F.expr(f"(w * {1 << 20}) div all_w").alias("share")))
+    share = cut_lineage(both.join(out, ["kind", "host"]).select("kind", "host", "to", "w", "all_w", F.expr(f"(w * {1 << 20}) div all_w").alias("share")))
     seeds = cut_lineage(trusted.select(F.lit("trust").alias("kind"), "host").unionByName(blocked.select(F.lit("distrust").alias("kind"), "host")))
-    n = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # two rows
-    start = seeds.withColumn("rank", F.when(F.col("kind") == "trust", F.lit(MASS // max(1, n.get("trust", 0)))).otherwise(F.lit(MASS // max(1, n.get("distrust", 0)))))
-    again = start.select("kind", "host", F.expr(f"shiftright(rank * {256 - FOLLOW}, 8)").alias("rank"))
+    n = {r["kind"]: max(1, r["n"]) for r in seeds.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # two rows
+    each = lambda mass: F.when(F.col("kind") == "trust", mass // n.get("trust", 1)).otherwise(mass // n.get("distrust", 1))
+    fine = F.when(F.col("kind") == "trust", whole(FINE // n.get("trust", 1))).otherwise(whole(FINE // n.get("distrust", 1)))
+    start = seeds.select("kind", "host", each(MASS).cast("long").alias("rank"), fine.alias("fine"))
+    again = start.select("kind", "host", F.expr(f"shiftright(rank * {256 - FOLLOW}, 8)").alias("rank"), quotient(F.col("fine") * (256 - FOLLOW), whole(256)).alias("fine"))
     rank = start
     if not share.isEmpty():
+        passed = quotient(F.col("fine") * (F.col("w") * FOLLOW), whole(F.col("all_w") * 256))
         for k in range(rounds):
-            flow = rank.join(share, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr(f"shiftright(shiftright(rank * share, 20) * {FOLLOW}, 8)").alias("rank"))
-            rank = flow.unionByName(again).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            flow = rank.join(share, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr(f"shiftright(shiftright(rank * share, 20) * {FOLLOW}, 8)").alias("rank"), passed.alias("fine"))
+            rank = flow.unionByName(again).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("fine").alias("fine"))
             if k % 4 == 3:
                 rank = cut_lineage(rank)
-    return rank.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0)).alias("trust"),
-                                    F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0)).alias("distrust"))
+    of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    return rank.groupBy("host").agg(of("trust", "rank").alias("trust"), of("distrust", "rank").alias("distrust"),
+                                    (of("distrust", "fine") > of("trust", "fine")).alias("distrusted"))
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
@@ -90,7 +107,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     tally = cut_lineage(ruled.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")))
     ranks = propagate(edges(base), tally.where("2 * good > n").select("host"), tally.where("2 * bad > n").select("host"), rounds)
     out = ruled.drop("html").join(ranks, "host", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("distrust") > F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("distrusted"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
                       F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))
 
 

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tabulens.llm import hosts
 from tabulens.llm.queries import ORACLES, QUERIES
 
 from .conftest import SMALL, TABLES
@@ -62,6 +63,15 @@ def test_hosts_follow_links(spark, odd_folder):
     assert got[10]["rule"] is None  # host net, but the path is empty
 
 
+def test_hosts_with_heavy_links(spark, monkeypatch):
+    """Hosts with one link to a blocked host that has more than 2^20 links are blocked, as in a small table."""
+    pages = spark.createDataFrame([(1, "http://hot.net/", ""), (2, "http://small.com/", ""), (3, "http://far.com/", ""), (4, "http://x.org/fr/", ""), (5, "http://fan.com/", "")], "page_id long, url string, html string")
+    for many in (3, (1 << 21) + 5):
+        links = spark.createDataFrame([("big.com", "hot.net", many), ("small.com", "hot.net", 1), ("far.com", "small.com", 1), ("x.org", "fan.com", 1)], "src string, dst string, w long")
+        monkeypatch.setattr(hosts, "edges", lambda _, links=links: links)
+        assert {r["page_id"]: r["verdict"] for r in hosts.judge(pages).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
