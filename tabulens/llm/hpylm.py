@@ -1,17 +1,19 @@
 """Hierarchical Pitman-Yor language model, and scores of texts.
 
-Words are seated in one word restaurant. Its base measure spells words byte by byte: every
-context of two bytes is a restaurant, whose parent is the restaurant of the last byte, whose
-parent is the one without context, whose parent is uniform over 257 symbols. Each table of the
-word restaurant sends its word once through the spelling restaurants. A text's end is the empty
-word. Gibbs sweeps take all customers of a word (or cell) out and seat them anew by the
-Chinese-restaurant process, given the others; predictive probabilities are averaged over the
-kept sweeps.
-
-Spark counts words block by block (a block is part of a partition, bounded in words), adds up
-the counts, and runs every sweep over the table of words; only the spelling cells (at most
-257^3, whatever the corpus) reach the driver. Word probabilities then go back to the blocks
-that asked for them.
+Every preceding word has a restaurant of the words that follow it; the parent of all of them is
+one word restaurant, which gets a customer for each of their tables. The base measure of the word
+restaurant spells words byte by byte: every context of two bytes is a restaurant, whose parent is
+the restaurant of the last byte, whose parent is the one without context, whose parent is uniform
+over 257 symbols. Each table of the word restaurant sends its word once through the spelling
+restaurants. A text's end is the empty word, which also precedes its first word. Gibbs sweeps take
+all customers of a pair, word or cell out and seat them anew by the Chinese-restaurant process,
+given the others; predictive probabilities are averaged over the kept sweeps.
+
+Spark counts words and pairs block by block (a block is part of a partition, bounded in words).
+Pairs meet as packed arrays in buckets by the hash of the whole pair, so a common word spreads
+over all buckets; pairs that occur once always have one table, and only the others are seated.
+Every sweep runs over the buckets and the table of words; only the spelling cells (at most 257^3,
+whatever the corpus) reach the driver. Tables of pairs go back to the blocks that asked for them.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shared_folder
+from ..session import shared_folder
 
 END = 256  # closes a word; also stands before its first byte
 SYMBOLS = 257
 STRENGTH = 1.0  # of every restaurant
 BURN_IN, KEPT = 1, 2
 BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 400_000  # a block ends at the first of these
+PAIRS = 3_000_000  # training tokens for each bucket of pairs
 
 
 def tables(customers: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -175,26 +178,82 @@ def tokenise(docs: DataFrame, learn: Column, id_col: str) -> DataFrame:
     return spark.read.schema(f"block long, id {schema}, held_out boolean, ids binary, no int, word binary, n long, is_word boolean").parquet(folder)
 
 
-def word_scores(counts: DataFrame, total: int, once: int, twice: int, seed: int = 7) -> DataFrame:
-    """(word, c, logp): log10 of every word's averaged predictive probability. counts: (word, c)."""
-    spark = counts.sparkSession
-    used = sorted(r["b"] for r in counts.where("c > 0").select(F.explode(F.array_distinct(F.expr("transform(sequence(1, length(word)), i -> ascii(decode(substring(word, i, 1), 'ISO-8859-1')))"))).alias("b")).distinct().collect()) if total else []
-    k = len(used) + 2  # the bytes seen, one place for all others, and END
-    symbol = np.full(256, len(used), np.int64)
-    symbol[used] = np.arange(len(used))
-    d = discount_of(once, twice)
-
-    def seat(words, c, model, tables_all, rng):
-        """Base probability of the words, and their tables."""
-        logs, cube = model
-        cells, word = codes(words, symbol, k)
-        base = np.exp(np.bincount(word, weights=logs[cells], minlength=len(words)))
-        mine = np.where(c > 0, np.maximum(1, c * tables_all / max(total, 1)), 0)  # others' tables: all but about its share
-        return base, tables(c, (STRENGTH + d * np.maximum(tables_all - mine, 0)) * base, d, rng), cells, word
-
-    def gather(sent, round_no, tables_all):
-        """Spelling cells of the tables after one sweep: (cell, n), with the number of tables at cell -1."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as eight planes of bytes of their differences (modulo 2^64), compressed."""
+    steps = np.diff(values.astype("<u8"), prepend=np.zeros(1, "<u8"))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, compressed, and read again."""
+    folder = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def number(counts: DataFrame) -> DataFrame:
+    """(word, c, wid): words numbered from 0, partition by partition."""
+    rows = stored(counts.sortWithinPartitions("word").select("word", "c", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
+    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per partition
+    if sum(sizes.values()) >= 1 << 32:
+        raise ValueError("more than 2^32 different words")
+    before, starts = 0, []
+    for i in range(max(sizes, default=0) + 1):
+        starts.append(before)
+        before += sizes.get(i, 0)
+    return rows.select("word", "c", (F.element_at(F.lit(starts).cast("array<bigint>"), F.col("part") + 1) + F.col("at")).alias("wid"))
+
+
+def pairs_of(docs: pa.Table, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(previous word, word, training count) of the different pairs of a block, and the pair of every token."""
+    texts = [restore(p.as_py()) for p in docs.column("ids")]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    word = np.concatenate(texts)
+    last = np.empty_like(word)
+    last[1:] = word[:-1]
+    last[np.cumsum(size) - size] = end
+    keys, pair = np.unique(last << 32 | word, return_inverse=True)
+    learned = np.repeat(~np.asarray(docs.column("held_out").to_pylist(), bool), size)
+    return keys >> 32, keys & 0xFFFFFFFF, np.bincount(pair[learned], minlength=len(keys)), pair
+
+
+def bucket_of(last: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (last.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def spell_and_seat(words, c, logs, symbol, k, d, total, tables_all, rng):
+    """Log of the base probability of the words, their tables, and their spelling cells."""
+    cells, word = codes(words, symbol, k)
+    log_base = np.bincount(word, weights=logs[cells], minlength=len(words))
+    mine = np.where(c > 0, np.maximum(1, c * tables_all / max(total, 1)), 0)  # others' tables: all but about its share
+    return log_base, tables(c, (STRENGTH + d * np.maximum(tables_all - mine, 0)) * np.exp(log_base), d, rng), cells, word
+
+
+class Words:
+    """The word restaurant over the spelling restaurants; its customers are given anew for every sweep."""
+
+    def __init__(self, vocabulary: DataFrame, seed: int):
+        used = sorted(r["b"] for r in vocabulary.where("c > 0").select(F.explode(F.array_distinct(F.expr("transform(sequence(1, length(word)), i -> ascii(decode(substring(word, i, 1), 'ISO-8859-1')))"))).alias("b")).distinct().collect())
+        self.spark, self.seed, self.k = vocabulary.sparkSession, seed, len(used) + 2  # the bytes seen, one place for all others, and END
+        self.symbol = np.full(256, len(used), np.int64)
+        self.symbol[used] = np.arange(len(used))
+        self.spelling, self.sent, self.tables_all, self.rng = Spelling(self.k), None, 0, np.random.default_rng(seed)
+
+    def sweep(self, rows: DataFrame, round_no: int) -> DataFrame:
+        """`rows` (word, customers, ...) with logp, the log of every word's predictive probability after seating."""
+        s = rows.agg(F.coalesce(F.sum("customers"), F.lit(0)).alias("n"), F.count_if(F.col("customers") == 1).alias("once"), F.count_if(F.col("customers") == 2).alias("twice")).first()
+        total, d, k, symbol, seed = s["n"], discount_of(s["once"], s["twice"]), self.k, self.symbol, self.seed
+        sent, before = self.sent, self.tables_all
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             rng = np.random.default_rng([seed, round_no, TaskContext.get().partitionId()])
@@ -206,50 +265,95 @@ def word_scores(counts: DataFrame, total: int, once: int, twice: int, seed: int
                     t = np.ones(len(words), np.int64)
                     cells, word = codes(words, symbol, k)
                 else:
-                    _, t, cells, word = seat(words, c, (sent.value, None), tables_all, rng)
+                    _, t, cells, word = spell_and_seat(words, c, sent.value, symbol, k, d, total, before, rng)
                 cube += np.bincount(cells, weights=t[word], minlength=k ** 3).astype(np.int64)
                 seats += int(t.sum())
             at = np.flatnonzero(cube)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(cube[at], seats))], names=["cell", "n"])
 
-        return counts.where("c > 0").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-    rng = np.random.default_rng(seed)
-    spelling, kept = Spelling(k), []
-    sent, tables_all = None, 0
-    for r in range(BURN_IN + KEPT):
-        rows = gather(sent, r, tables_all).toArrow() if total else pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        cell, n = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
+        got = rows.where("customers > 0").select("word", "customers").mapInArrow(gather, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
         cube = np.zeros(k ** 3, np.int64)
         cube[cell[cell >= 0]] = n[cell >= 0]
-        tables_all = int(n[cell < 0].sum())
-        spelling.sweep(cube.reshape(k, k, k), rng)
-        sent = spark.sparkContext.broadcast(np.log(spelling.two).ravel())
-        if r >= BURN_IN:
-            kept.append((sent, tables_all))
+        self.tables_all = everything = int(n[cell < 0].sum())
+        self.spelling.sweep(cube.reshape(k, k, k), self.rng)
+        self.sent = now = self.spark.sparkContext.broadcast(np.log(self.spelling.two).ravel())
+        names = rows.columns
+        at_word, at_c = names.index("word"), names.index("customers")
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
 
-        rng = np.random.default_rng([seed, 1000, TaskContext.get().partitionId()])
+            rng = np.random.default_rng([seed, 1000 + round_no, TaskContext.get().partitionId()])
+            for b in batches:
+                words, c = b.column(at_word).to_pylist(), b.column(at_c).to_numpy(zero_copy_only=False)
+                log_base, t, _, _ = spell_and_seat(words, c, now.value, symbol, k, d, total, everything, rng)
+                with np.errstate(divide="ignore"):  # very long words underflow: stay in logarithms
+                    logp = np.logaddexp(np.log(np.maximum(c - d * t, 0.0)), np.log(STRENGTH + d * everything) + log_base) - np.log(STRENGTH + total)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logp)], names=[*names, "logp"])
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+        return rows.mapInArrow(predict, f"{fields}, logp double")
+
+
+def merge_pairs(parts: pa.Table) -> pa.Table:
+    """One bucket: its pairs that occur more than once in training, the sums of words over all, and
+    where the pairs of every block stand. Kinds: 0 pairs (keys, counts), 1 blocks (counts, place), 2 words."""
+    keys = [unpack(k.as_py()) for k in parts.column("keys")]
+    uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
+    c = np.bincount(at, weights=np.concatenate([unpack(n.as_py()) for n in parts.column("ns")]).astype(float), minlength=len(uniq)).astype(np.int64)
+    more = c > 1
+    place = np.where(more, np.cumsum(more), 0)  # 1 + its place among the pairs that are seated
+    bucket, out = parts.column("bucket")[0].as_py(), []
+    out.append((0, bucket, None, pack(uniq[more]), pack(c[more]), None, None, None, None, int((c == 1).sum()), int((c == 2).sum())))
+    ends = np.cumsum([len(k) for k in keys])
+    for block, a, z in zip(parts.column("block").to_pylist(), ends - [len(k) for k in keys], ends):
+        out.append((1, bucket, block, pack(place[at[a:z]]), pack(c[at[a:z]]), None, None, None, None, None, None))
+    seen = c > 0
+    last, word = (uniq[seen] >> np.uint64(32)).astype(np.int64), (uniq[seen] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    wids, which = np.unique(np.concatenate([last, word]), return_inverse=True)
+    u, w, n = which[:len(last)], which[len(last):], len(wids)
+    single = (c[seen] == 1).astype(float)
+    sums = [np.bincount(u, weights=c[seen].astype(float), minlength=n), np.bincount(u, weights=single, minlength=n), np.bincount(w, weights=single, minlength=n)]
+    head = pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), MERGED)], schema=MERGED)
+    blank = {f.name: pa.nulls(n, f.type) for f in MERGED}
+    blank |= {"kind": pa.array(np.full(n, 2, np.int32)), "wid": pa.array(wids)} | {k: pa.array(v.astype(np.int64)) for k, v in zip(("follow", "single_u", "single_w"), sums)}
+    return pa.concat_tables([head, pa.Table.from_arrays([blank[f.name] for f in MERGED], schema=MERGED)])
+
+
+MERGED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("ns", pa.binary()), ("wid", pa.int64()),
+                    ("follow", pa.int64()), ("single_u", pa.int64()), ("single_w", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())])
+
+
+def seat_pairs(seated: DataFrame, state: DataFrame, d: float, round_no: int, seed: int) -> DataFrame:
+    """(bucket, ts, wid, tu, tw): new tables of every bucket's pairs (packed), and their sums as
+    previous word and as word. state: (wid, logp, seats) of the sweep before."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-            p = np.zeros(len(words))
-            for cells_of, everything in kept:
-                base, t, _, _ = seat(words, c, (cells_of.value, None), everything, rng)
-                p += (np.maximum(c - d * t, 0.0) + (STRENGTH + d * everything) * base) / (STRENGTH + total)
-            with np.errstate(divide="ignore"):
-                logp = np.log10(p / len(kept))
-            if not np.isfinite(logp).all():  # very long words underflow: stay in logarithms
-                cells, word = codes(words, symbol, k)
-                exact = np.bincount(word, weights=kept[-1][0].value[cells], minlength=len(words)) / np.log(10) + np.log10((STRENGTH + d * kept[-1][1]) / (STRENGTH + total))
-                logp = np.where(np.isfinite(logp), logp, exact)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(logp)], names=["word", "c", "logp"])
-
-    return cut_lineage(counts.mapInArrow(final, "word binary, c long, logp double"))
+            for bucket, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                both = unpack(keys)
+                wids = np.unique(np.concatenate([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wids), bucket)), pa.array(wids)], names=["of", "wid"])
 
+    told = seated.select("bucket", "keys").mapInArrow(ask, "of long, wid long").join(state.select("wid", "logp", "seats"), "wid")
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket = left.column("bucket")[0].as_py()
+        keys, c = unpack(left.column("keys")[0].as_py()), unpack(left.column("ns")[0].as_py()).astype(np.int64)
+        order = np.argsort(right.column("wid").to_numpy())
+        wids, logp, seats = (right.column(x).to_numpy()[order] for x in ("wid", "logp", "seats"))
+        u, w = (np.searchsorted(wids, x.astype(np.int64)) for x in (keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)))
+        rng = np.random.default_rng([seed, 2000 + round_no, bucket])
+        t = tables(c, (STRENGTH + d * np.maximum(seats[u] - 1, 0)) * np.exp(logp[w]), d, rng)  # about one of the tables is its own
+        n = len(wids)
+        sums = [np.bincount(x, weights=t.astype(float), minlength=n).astype(np.int64) for x in (u, w)]
+        return pa.table({"bucket": pa.array([bucket] + [None] * n, pa.int64()), "ts": pa.array([pack(t)] + [None] * n, pa.binary()), "wid": pa.array([None, *wids.tolist()], pa.int64()),
+                         "tu": pa.array([0, *sums[0].tolist()], pa.int64()), "tw": pa.array([0, *sums[1].tolist()], pa.int64())})
+
+    return stored(seated.select("bucket", "keys", "ns").groupBy("bucket").cogroup(told.groupBy("of")).applyInArrow(run, "bucket long, ts binary, wid long, tu long, tw long"))
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", seed: int = 7, pairs_per_bucket: int = PAIRS) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) per row.
 
     Learns from the rows where `learn` holds (null counts as not); a null text is empty and has
@@ -258,26 +362,118 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id") -> DataFrame:
     """
     blocks = tokenise(docs, learn, id_col)
     asked = blocks.where("is_word").select("block", "no", "word", "n")
-    counts = cut_lineage(asked.groupBy("word").agg(F.sum("n").alias("c")))
-    s = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    vocabulary = number(asked.groupBy("word").agg(F.sum("n").alias("c")))
+    s = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, kinds = s["n"], s["v"]
-    scored = word_scores(counts, total, s["once"], s["twice"])
-    answers = asked.join(scored, "word").select("block", "no", "c", "logp")
+    buckets = max(1, -(-total // pairs_per_bucket))
     texts = blocks.where("not is_word").select(F.col("block").alias("of"), "id", "held_out", "ids")
     kind = texts.schema["id"].dataType.simpleString()
+    end_of = asked.where("length(word) = 0").select(F.col("block").alias("in_block"), F.col("no").alias("end"))  # one row per block
+    known = stored(asked.join(vocabulary.select("word", "wid"), "word").join(F.broadcast(end_of), F.col("block") == F.col("in_block")).select("block", "no", "wid", "end"))
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        no, end = right.column("no").to_numpy(), right.column("end")[0].as_py()
+        wid = np.zeros(len(no), np.int64)
+        wid[no] = right.column("wid").to_numpy()
+        last, word, n, _ = pairs_of(left, end)
+        last, word = wid[last], wid[word]
+        at = bucket_of(last, word, buckets)
+        order = np.argsort(at, kind="stable")
+        edge = np.searchsorted(at[order], np.arange(buckets + 1))
+        key = last.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
+        out = [(b, left.column("of")[0].as_py(), pack(key[order[a:z]]), pack(n[order[a:z]])) for b, (a, z) in enumerate(zip(edge, edge[1:])) if a < z]
+        return pa.table({k: pa.array(v, t) for k, v, t in zip(("bucket", "block", "keys", "ns"), zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))})
+
+    dealt = texts.groupBy("of").cogroup(known.groupBy("block")).applyInArrow(deal, "bucket long, block long, keys binary, ns binary")
+    merged = stored(dealt.groupBy("bucket").applyInArrow(merge_pairs, "kind int, bucket long, block long, keys binary, ns binary, wid long, follow long, single_u long, single_w long, once long, twice long"))
+    seated = merged.where("kind = 0")
+    seen = seated.agg(F.coalesce(F.sum("once"), F.lit(0)).alias("once"), F.coalesce(F.sum("twice"), F.lit(0)).alias("twice")).first()
+    d = discount_of(seen["once"], seen["twice"])
+    fixed = merged.where("kind = 2").groupBy("wid").agg(F.sum("follow").alias("follow"), F.sum("single_u").alias("single_u"), F.sum("single_w").alias("single_w"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    people = stored(vocabulary.join(fixed, "wid", "left").select("wid", "word", "c", *[zero(F.col(x)).alias(x) for x in ("follow", "single_u", "single_w")]))
+    words, kept, state = Words(vocabulary, seed), [], None
+    for r in range(BURN_IN + KEPT):
+        if r == 0:  # every pair has one table
+            def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for bucket, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                        both = unpack(keys)
+                        u, w = (x.astype(np.int64) for x in (both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)))
+                        wids, at = np.unique(np.concatenate([u, w]), return_inverse=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(wids), *[pa.array(np.bincount(x, minlength=len(wids))) for x in (at[:len(u)], at[len(u):])]], names=["wid", "tu", "tw"])
+
+            moved = seated.select("bucket", "keys").mapInArrow(once, "wid long, tu long, tw long")
+            now = None
+        else:
+            now = seat_pairs(seated, state, d, r, seed)
+            moved = now.where("wid is not null")
+        moved = moved.groupBy("wid").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
+        rows = people.join(moved, "wid", "left").select("wid", "word", (F.col("single_w") + zero(F.col("tw"))).alias("customers"), (F.col("single_u") + zero(F.col("tu"))).alias("seats"))
+        state = stored(words.sweep(stored(rows), r).select("wid", "logp", "seats"))
+        if r >= BURN_IN:
+            kept.append((now.where("bucket is not null").select(F.col("bucket").alias("home"), F.col("ts").alias(f"ts{len(kept)}")), state.select("wid", F.col("logp").cast("float").alias(f"logp{len(kept)}"), F.col("seats").alias(f"seats{len(kept)}"))))
+
+    sweeps = len(kept)
+    # what the blocks need: the tables of their pairs, and every word's own values
+    home = seated.select(F.col("bucket").alias("home"))
+    facts = people.select("wid", "c", "follow")
+    for ts, values in kept:
+        home, facts = home.join(ts, "home"), facts.join(values, "wid")
+    names = [f"{x}{i}" for i in range(sweeps) for x in ("logp", "seats")]
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(right):
+            ts = [np.concatenate([[0], unpack(right.column(f"ts{i}")[0].as_py()).astype(np.int64)]) for i in range(sweeps)]
+            for block, places, ns in zip(left.column("block").to_pylist(), left.column("keys"), left.column("ns")):
+                at, c = unpack(places.as_py()).astype(np.int64), unpack(ns.as_py()).astype(np.int64)
+                out.append((left.column("bucket")[0].as_py(), block, ns.as_py(), *[pack(np.where(c == 1, 1, t[at])) for t in ts]))
+        types = (pa.int64(), pa.int64(), *[pa.binary()] * (1 + sweeps))
+        cols = list(zip(*out)) or [()] * len(types)
+        return pa.table({k: pa.array(v, t) for k, v, t in zip(("bucket", "block", "ns", *[f"ts{i}" for i in range(sweeps)]), cols, types)})
+
+    packed = ", ".join(f"ts{i} binary" for i in range(sweeps))
+    given = merged.where("kind = 1").select("bucket", "block", "keys", "ns").groupBy("bucket").cogroup(home.groupBy("home")).applyInArrow(answer, f"bucket long, block long, ns binary, {packed}")
+    own = known.join(facts, "wid").select("block", "no", "wid", "c", "follow", (F.col("no") == F.col("end")).alias("is_end"), *names)
+    both = own.unionByName(given, allowMissingColumns=True)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        no = right.column("no").to_numpy()
-        c, logp = np.zeros(len(no), np.int64), np.zeros(len(no))
-        c[no], logp[no] = right.column("c").to_numpy(), right.column("logp").to_numpy()
+        import pyarrow.compute as pc
+
+        mine, from_pairs = right.filter(pc.is_valid(right.column("no"))), right.filter(pc.is_valid(right.column("bucket")))
+        no = mine.column("no").to_numpy()
+
+        def by_no(name):
+            out = np.zeros(len(no), mine.column(name).to_numpy().dtype)
+            out[no] = mine.column(name).to_numpy()
+            return out
+
+        c, wid, follow, is_end = by_no("c"), by_no("wid"), by_no("follow"), by_no("is_end")
+        last, word, _, pair = pairs_of(left, int(np.flatnonzero(is_end)[0]))
+        order = np.argsort(bucket_of(wid[last], wid[word], buckets), kind="stable")
+        parts = sorted(range(len(from_pairs)), key=from_pairs.column("bucket").to_pylist().__getitem__)
+
+        def by_pair(name):
+            out = np.zeros(len(order), np.int64)
+            out[order] = np.concatenate([unpack(from_pairs.column(name)[i].as_py()) for i in parts]).astype(np.int64)
+            return out
+
+        n, logs = by_pair("ns"), []
+        for i in range(sweeps):
+            t, logp, seats = by_pair(f"ts{i}"), by_no(f"logp{i}"), by_no(f"seats{i}")
+            with np.errstate(divide="ignore"):
+                logs.append(np.logaddexp(np.log(np.maximum(n - d * t, 0.0)), np.log(STRENGTH + d * seats[last]) + logp[word]) - np.log(STRENGTH + follow[last]))
+        logp = (np.logaddexp.reduce(logs, axis=0) - np.log(sweeps)) / np.log(10)
         base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-        out = []
-        for packed in left.column("ids"):
-            i = restore(packed.as_py())
-            out.append((len(i), int((c[i] > 0).sum()), float(base[i].sum()), float(logp[i].sum())))
+        out, upto = [], 0
+        for ids in left.column("ids"):
+            i = restore(ids.as_py())
+            out.append((len(i), int((c[i] > 0).sum()), float(base[i].sum()), float(logp[pair[upto:upto + len(i)]].sum())))
+            upto += len(i)
         cols = list(zip(*out))
         return pa.table({"id": left.column("id"), "held_out": left.column("held_out"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()),
                          "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
 
-    out = texts.groupBy("of").cogroup(answers.groupBy("block")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = texts.groupBy("of").cogroup(both.groupBy("block")).applyInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

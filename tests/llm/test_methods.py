@@ -421,6 +421,21 @@ def test_model_scores(spark, awkward, nothing):
     assert hpylm.score(nothing, F.lit(True)).collect() == []
 
 
+def test_scores_follow_word_order(spark):
+    """A held-out text in the order of the training texts scores higher than the same words shuffled,
+    with many buckets as with one."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"{a}{k}" for k in rnd.sample(range(30), 10) for a in ("a", "b", "c")), True) for i in range(80)]
+    text = rows[0][1].split()
+    other = text[1::2] + text[::2]
+    rows += [(100, " ".join(text), False), (101, " ".join(other), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
+    for more in ({}, {"pairs_per_bucket": 200}):
+        got = {r["doc_id"]: r for r in hpylm.score(docs, F.col("learn"), **more).collect()}
+        assert got[100]["base_score"] == pytest.approx(got[101]["base_score"]) and got[100]["score"] > got[101]["score"] + 10
+        assert got[100]["score"] > got[100]["base_score"]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
