@@ -4,7 +4,8 @@ The patterns give the base spans, in linear time whatever the text. The tagger i
 bidirectional LSTM with CRF transitions, fitted in numpy on windows around labelled spans of a
 bounded sample. It reads overlapping windows of the whole text; windows with no digit or `@` in
 them or close behind are outside by definition, since every kind needs one. The scores of overlapping windows are
-averaged, and each connected stretch of windows is decoded once as a whole. Spans that pass a
+averaged, and each connected stretch of windows is decoded once as a whole: windows are read some at
+a time, forward scores and back pointers are carried from one share to the next. Spans that pass a
 kind's minimum are added where they touch no base span.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tagger import Tagger, encode
+from .tagger import Path, Tagger, encode
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STEP = 64, 32
@@ -26,7 +27,7 @@ SAMPLE_DOCS = 2000  # labelled texts that are looked at for training, about
 SAMPLE_WINDOWS = 1500  # windows that are fitted at most
 PER_TEXT = 50  # spans of one text that are fitted at most
 BATCH = 2048  # windows tagged at a time
-SHARE = 16  # stretches longer than this many windows are decoded in overlapping shares
+SHARE = 16  # windows of a stretch that are read at a time; the decoder is carried from share to share
 
 # The patterns. Look-behinds only keep a search from starting inside a run again.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -160,27 +161,33 @@ def tag(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     stretches: list[list[tuple[int, int]]] = []
     for j in jobs:
         last = stretches[-1] if stretches else None
-        if last and last[-1][0] == j[0] and j[1] - last[-1][1] <= STEP and len(last) < SHARE:
+        if last and last[-1][0] == j[0] and j[1] - last[-1][1] <= STEP:
             last.append(j)
         else:
             stretches.append([j])
     by_size: dict[int, list[list[tuple[int, int]]]] = {}
     for s in stretches:
         by_size.setdefault(len(s), []).append(s)
+    near = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(float)  # a window knows its middle best
     for size, group in by_size.items():
-        for i in range(0, len(group), max(1, BATCH // size)):
-            part = group[i:i + max(1, BATCH // size)]
-            x = np.array([encode(texts[k][s:s + WINDOW], WINDOW) for st in part for k, s in st])
-            em = model.emissions(x).reshape(len(part), size, WINDOW, model.tags)
-            length = (size - 1) * STEP + WINDOW
-            total, weight = np.zeros((len(part), length, model.tags)), np.zeros(length)
-            near = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(float)  # a window knows its middle best
-            for w in range(size):
-                at = slice(w * STEP, w * STEP + WINDOW)
-                total[:, at] += em[:, w] * near[:, None]
-                weight[at] += near
-            tags = model.decode(total / weight[None, :, None])
-            for (k, s), row in zip((st[0] for st in part), tags):
+        for i in range(0, len(group), max(1, BATCH // min(size, SHARE))):
+            part = group[i:i + max(1, BATCH // min(size, SHARE))]
+            path = Path(model, len(part))
+            total, weight = np.zeros((len(part), WINDOW - STEP, model.tags)), np.zeros(WINDOW - STEP)  # what windows before left open
+            for first in range(0, size, SHARE):
+                n = min(SHARE, size - first)
+                x = np.array([encode(texts[k][s:s + WINDOW], WINDOW) for st in part for k, s in st[first:first + n]])
+                em = model.emissions(x).reshape(len(part), n, WINDOW, model.tags)
+                total = np.concatenate([total, np.zeros((len(part), n * STEP, model.tags))], axis=1)
+                weight = np.concatenate([weight, np.zeros(n * STEP)])
+                for w in range(n):
+                    at = slice(w * STEP, w * STEP + WINDOW)
+                    total[:, at] += em[:, w] * near[:, None]
+                    weight[at] += near
+                done = n * STEP if first + n < size else total.shape[1]
+                path.add(total[:, :done] / weight[None, :done, None])
+                total, weight = total[:, done:], weight[done:]
+            for (k, s), row in zip((st[0] for st in part), path.tags()):
                 for b in np.flatnonzero(row % 2 == 1):
                     e = b + 1
                     while e < len(row) and row[e] == row[b] + 1:

@@ -73,18 +73,9 @@ class Tagger:
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """Best tags of a batch of emissions (rows, steps, tags)."""
-        tr = self.transitions()
-        best = scores[:, 0] + self.start
-        back = np.zeros(scores.shape, np.int8)
-        for t in range(1, scores.shape[1]):
-            all_ways = best[:, :, None] + tr[None]
-            back[:, t] = all_ways.argmax(axis=1)
-            best = all_ways.max(axis=1) + scores[:, t]
-        tags = np.zeros(scores.shape[:2], np.int64)
-        tags[:, -1] = best.argmax(axis=1)
-        for t in range(scores.shape[1] - 1, 0, -1):
-            tags[:, t - 1] = back[np.arange(len(tags)), t, tags[:, t]]
-        return tags
+        path = Path(self, len(scores))
+        path.add(scores)
+        return path.tags()
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tags y, and its gradients."""
@@ -148,3 +139,32 @@ class Tagger:
                     self.p[name] -= rate * (m1[name] / (1 - 0.9 ** k)) / (np.sqrt(m2[name] / (1 - 0.999 ** k)) + 1e-8)
             losses.append(total / max(len(x), 1))
         return losses
+
+
+class Path:
+    """Best tags of emissions that come block by block: forward scores and back pointers are carried on."""
+
+    def __init__(self, model: Tagger, rows: int):
+        self.tr, self.start, self.rows = model.transitions(), model.start, rows
+        self.best: np.ndarray | None = None
+        self.back: list[np.ndarray] = []
+
+    def add(self, scores: np.ndarray) -> None:
+        """The next steps of all rows: (rows, steps, tags)."""
+        back = np.zeros(scores.shape, np.int8)
+        for t in range(scores.shape[1]):
+            if self.best is None:
+                self.best = scores[:, t] + self.start
+                continue
+            all_ways = self.best[:, :, None] + self.tr[None]
+            back[:, t] = all_ways.argmax(axis=1)
+            self.best = all_ways.max(axis=1) + scores[:, t]
+        self.back.append(back)
+
+    def tags(self) -> np.ndarray:
+        back, at = np.concatenate(self.back, axis=1), np.arange(self.rows)
+        tags = np.zeros(back.shape[:2], np.int8)
+        tags[:, -1] = self.best.argmax(axis=1)
+        for t in range(back.shape[1] - 1, 0, -1):
+            tags[:, t - 1] = back[at, t, tags[:, t]]
+        return tags

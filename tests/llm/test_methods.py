@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tabulens.llm import ann, graph, hpylm, language, lines, pieces, pii, simhash, winnow
 from tabulens.llm.queries import QUERIES
-from tabulens.llm.tagger import Tagger
+from tabulens.llm.tagger import Tagger, encode
 
 from .conftest import SMALL
 
@@ -347,6 +347,35 @@ def test_tagger_gradient_and_decoding():
     assert m.decode(em)[0].tolist() == list(max(itertools.product(range(5), repeat=4), key=lambda p: value(list(p))))
 
 
+def test_pii_long_stretches(monkeypatch):
+    """A long text full of digits is decoded as one, wherever the windows that are read at a time end."""
+    model, rnd = Tagger(4, seed=8), random.Random(2)
+    model.p["tr"] = np.random.default_rng(1).normal(0, 1.0, (9, 9))
+    model.p["out"] *= 4
+    model.p["tr"][[5, 6, 7, 8], [6, 6, 8, 8]] += 3  # long spans
+    monkeypatch.setattr(pii, "_good", lambda kind, s: True)
+    phone = "227 (555) 660-8812"
+    for offset in range(pii.STEP + 1):
+        text = "".join(rnd.choice("0123456789 .-") for _ in range(16 * pii.STEP + offset)) + phone + "".join(rnd.choice("0123456789 .-") for _ in range(700))
+        starts = pii.windows(text)
+        length = starts[-1] + pii.WINDOW
+        total, weight = np.zeros((1, length, 9)), np.zeros(length)
+        near = np.minimum(np.arange(pii.WINDOW) + 1, pii.WINDOW - np.arange(pii.WINDOW))
+        em = model.emissions(np.array([encode(text[s:s + pii.WINDOW], pii.WINDOW) for s in starts]))
+        for s, e in zip(starts, em):
+            total[0, s:s + pii.WINDOW] += e * near[:, None]
+            weight[s:s + pii.WINDOW] += near
+        row = model.decode(total / weight[:, None])[0]
+        want = []
+        for b in np.flatnonzero(row % 2 == 1):
+            e = b + 1
+            while e < length and row[e] == row[b] + 1:
+                e += 1
+            if b < len(text) and not (row[b] == 1 and b > 0 and text[b - 1] in pii.LOCAL_SET):
+                want.append((int(row[b]) // 2, int(b), min(int(e), len(text))))
+        assert want and pii.tag(model, ["7" * 40, text, "no", text[:500]])[1] == want
+
+
 def test_pii_documents(spark, awkward, nothing):
     docs = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet")
     model = pii.fit(docs, F.col("doc_id"))
