@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hosts, hpylm, language, lines, pieces, pii, secrets, simhash, winnow
+from . import ann, fim, hosts, hpylm, language, lines, pieces, pii, secrets, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,21 @@ def _(t):
     held = fold_of(F.col("doc_id"), 4) == 2
     out = language.identify(docs, ~held)
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+OP13_SQL = """with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as s from documents),
+h as (select *, cast('0x' || substr(s, 1, 8) as bigint) % (n + 1) as h1, cast('0x' || substr(s, 9, 8) as bigint) % (n + 1) as h2,
+             cast('0x' || substr(s, 17, 8) as bigint) % 100 as h3, cast('0x' || substr(s, 25, 8) as bigint) % 100 as h4 from d),
+f as (select *, least(h1, h2) as a, greatest(h1, h2) as b,
+             case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 90 then 'plain' when h4 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substr(t, 1, a) as pre, substr(t, a + 1, b - a) as mid, substr(t, b + 1) as suf from f)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(a as bigint) end as prefix_chars, case when form <> 'plain' then cast(b - a as bigint) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+       sha256(t) as restored_sha256 from p"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def _(t):
+    """Form, cuts and digests of every document's fill-in-the-middle output and of the text rebuilt from it."""
+    out = fim.restore(fim.transform(t("documents")).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "output_sha256"))
+    return out.drop("output", "restored")
