@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fim, hosts, hpylm, language, lines, pieces, pii, secrets, simhash, winnow
+from . import ann, fim, hosts, hpylm, language, lines, maxscore, pieces, pii, secrets, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,6 +145,27 @@ def _(t):
     return out.select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+OP11_SQL = f"""with d as (select row_number() over () as r, doc_id, regexp_extract_all({FOLD}, '{WORDS}') as w from documents),
+i as (select row_number() over () as q, item_id, regexp_extract_all({FOLD}, '{WORDS}') as w from (select distinct item_id, text from benchmark)),
+tf as (select r, t, count(*) as tf from (select r, unnest(w) as t from d) group by all),
+one as (select r, doc_id, len(w) as n from d where len(w) > 0),
+s as (select count(*) as n_all, sum(n) as l_all from one),
+df as (select t, count(*) as df from tf group by 1),
+ask as (select q, item_id, t, count(*) as c from (select q, item_id, unnest(w) as t from i) group by all),
+wt as (select t, cast(floor(1000 * ln((2 * n_all + 2) / (2 * df + 1))) as bigint) as w from df, s where t in (select t from ask)),
+m as (select r, doc_id, cast(100 - 25 + (25 * n * n_all) // l_all as bigint) as m from one, s),
+score as (select q, item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as score
+          from ask join wt using (t) join tf using (t) join m using (r) group by all),
+best as (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from score where score > 0)
+select item_id, rank, doc_id, cast(score as bigint) as score from best where rank <= 20"""
+
+
+@query("op11_pair_maxscore", OP11_SQL)
+def _(t):
+    """The twenty best documents for every benchmark item."""
+    return maxscore.search(t("documents"), t("benchmark"))
+
+
 OP13_SQL = """with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as s from documents),
 h as (select *, cast('0x' || substr(s, 1, 8) as bigint) % (n + 1) as h1, cast('0x' || substr(s, 9, 8) as bigint) % (n + 1) as h2,
              cast('0x' || substr(s, 17, 8) as bigint) % 100 as h3, cast('0x' || substr(s, 25, 8) as bigint) % 100 as h4 from d),

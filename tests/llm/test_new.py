@@ -1,13 +1,17 @@
 """Operators 11 to 13 against plain Python."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulens.llm import fim
+from tabulens.llm import fim, maxscore
 from tabulens.llm.queries import QUERIES
 
 from .conftest import SMALL
@@ -62,3 +66,61 @@ def test_pieces_round_trip():
     t = fim.PieceTable.of(b"abcdef").cut([0, 2, 2, 6])
     assert [z - a for _, a, z in t.pieces] == [0, 2, 0, 4, 0] and t.write() == b"abcdef"
     assert t.permute((3, 1, 0, 2, 4)).inverse((3, 1, 0, 2, 4)).pieces == t.pieces
+
+
+TERM = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+
+
+def plain_terms(text):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in TERM.findall(text or "")]
+
+
+def plain_search(docs, items, k):
+    count = [(i, Counter(plain_terms(t))) for i, t in docs]
+    count = [(i, c, sum(c.values())) for i, c in count if c]
+    n, total = len(count), sum(x[2] for x in count)
+    df = Counter(w for _, c, _ in count for w in c)
+    out = []
+    for item, text in set(items):
+        rows = []
+        for i, c, size in count:
+            m = 100 - 25 + (25 * size * n) // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * ((1000000000 * c[w]) // (1000 * c[w] + 12 * m)) for w in plain_terms(text) if w in c)
+            if s > 0:
+                rows.append((-s, i is None, i))
+        out += [(item, r + 1, i, -s) for r, (s, _, i) in enumerate(sorted(rows, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block,batch", [(4096, 200_000), (3, 200_000), (7, 25)])
+def test_search(spark, monkeypatch, block, batch):
+    draw = random.Random(block)
+    vocabulary = [f"w{int(draw.paretovariate(0.5))}" for _ in range(400)]
+    docs = [(draw.choice([None, *range(150)]), " ".join(draw.choices(vocabulary, k=draw.choice([0, 1, 5, 30, 200]))).replace("w1", "W1")) for _ in range(200)] + [(7, "w1 w1 w2, w3"), (5, "w1 w1 w2, w3"), (7, "w1 w1 w2, w3"), (500, None)]
+    items = [(i % 11, " ".join(draw.choices(vocabulary, k=draw.randint(1, 9)) + ["w1"] * (i % 3))) for i in range(14)] + [(3, None), (4, ""), (None, "w1 nowhere w2"), (None, "w1 nowhere w2"), (9, "nowhere")]
+    monkeypatch.setattr(maxscore, "BLOCK_DOCS", block)
+    # one task sees all blocks, so that thresholds carry over
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = maxscore.search(d, spark.createDataFrame(items, "item_id long, text string"), k=4, batch_terms=batch)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_search(docs, items, 4)
+
+
+def test_search_skips(monkeypatch):
+    """Pair bounds leave more lists out than the sums of single maxima would."""
+    docs = [f"a{i} common" if i % 2 else f"b{i} usual" for i in range(60)] + ["rare common usual"] * 3
+    row = maxscore.pack_block(list(range(len(docs))), [d.encode() for d in docs], np.arange(len(docs)))
+    place = {b"common": 0, b"usual": 1, b"rare": 2}
+    block = maxscore.Block(row, place, np.array([10, 10, 100]), len(docs), 2 * len(docs) + 3, 2)
+    block.intersect([(0, 1)])
+    listed, joint, kth = block.pairs[0, 1]
+    assert listed.tolist() == [60, 61, 62] and joint < block.top[0] + block.top[1] and kth == joint
+    at, s = block.best([((0, 1), (1, 1)), ((2, 1),)], 0)
+    assert at.tolist() == [60, 61] and len(set(s.tolist())) == 1
+
+
+def test_search_awkward(spark, awkward, nothing):
+    items = spark.createDataFrame([("a", "alpha école 日本語😀", 1), ("b", "the the of", 2)], "item_id string, text string, id long")
+    got = maxscore.search(awkward, items).collect()
+    docs = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    assert sorted((tuple(r) for r in got), key=repr) == plain_search(docs, [(r["item_id"], r["text"]) for r in items.collect()], 20)
+    assert maxscore.search(nothing, items).collect() == [] and maxscore.search(awkward, items.where("false")).collect() == []
