@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fim, hosts, hpylm, language, lines, maxscore, pieces, pii, secrets, simhash, winnow
+from . import ann, fim, hosts, hpylm, language, lines, maxscore, pieces, pii, radix, secrets, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,6 +166,31 @@ def _(t):
     return maxscore.search(t("documents"), t("benchmark"))
 
 
+OP12_SQL = """with d as (select row_number() over () as r, doc_id, hex(coalesce(text, '')) as h from documents),
+one as (select r, doc_id, h, length(h) // 2 as n from d),
+part as (select r, doc_id, c * 1000 as base, least(1000, n - 49 - c * 1000) as m, substr(h, 2000 * c + 1, 2098) as g
+         from (select *, unnest(range(0, (n - 50) // 1000 + 1)) as c from one where n >= 50)),
+win as (select r, doc_id, base + j as p, substr(g, 2 * j + 1, 100) as w from (select *, unnest(range(0, m)) as j from part)),
+low as (select w, min(doc_id) as f from win group by 1 having count(*) > 1 and min(doc_id) is not null),
+hit as (select r, p from win join low using (w) where doc_id is null or doc_id > f),
+step as (select r, p, case when p > lag(p) over (partition by r order by p) + 50 then 1 else 0 end as b from hit),
+isle as (select r, p, sum(b) over (partition by r order by p) as i from step),
+gone as (select r, i, min(p) as a, max(p) + 50 as z from isle group by all),
+gap as (select r, coalesce(lag(z) over (partition by r order by a), 0) as f, a as t from gone
+        union all select r, max(z), any_value(n) from gone join one using (r) group by r),
+kept as (select r, coalesce(string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' order by f), '') as k from gap join one using (r) group by r),
+sums as (select r, sum(z - a) as n_removed, count(*) as n_spans from gone group by r)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from one left join kept using (r) left join sums using (r)"""
+
+
+@query("op12_radix_dedup", OP12_SQL)
+def _(t):
+    """Bytes removed from every document, and the digest of the rest."""
+    out = radix.cut_repeats(t("documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"), "kept_sha256")
+
+
 OP13_SQL = """with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as s from documents),
 h as (select *, cast('0x' || substr(s, 1, 8) as bigint) % (n + 1) as h1, cast('0x' || substr(s, 9, 8) as bigint) % (n + 1) as h2,
              cast('0x' || substr(s, 17, 8) as bigint) % 100 as h3, cast('0x' || substr(s, 25, 8) as bigint) % 100 as h4 from d),

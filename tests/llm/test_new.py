@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulens.llm import fim, maxscore
+from tabulens.llm import fim, maxscore, radix
 from tabulens.llm.queries import QUERIES
 
 from .conftest import SMALL
@@ -124,3 +124,51 @@ def test_search_awkward(spark, awkward, nothing):
     docs = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     assert sorted((tuple(r) for r in got), key=repr) == plain_search(docs, [(r["item_id"], r["text"]) for r in items.collect()], 20)
     assert maxscore.search(nothing, items).collect() == [] and maxscore.search(awkward, items.where("false")).collect() == []
+
+
+def plain_cut(docs, depth):
+    first = {}
+    for i, t in docs:
+        for p in range(len(t) - depth + 1):
+            w = t[p:p + depth]
+            first[w] = min(first.get(w, math.inf), math.inf if i is None else i)
+    out = []
+    for i, t in docs:
+        gone = bytearray(len(t))
+        for p in range(len(t) - depth + 1):
+            if first[t[p:p + depth]] < (math.inf if i is None else i):
+                gone[p:p + depth] = b"\1" * depth
+        out.append((i, len(t), sum(gone), len(re.findall(b"\1+", gone)), bytes(c for c, g in zip(t, gone) if not g)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("depth,block,windows,fan", [(50, 4 << 20, 12_000_000, 1024), (20, 300, 12_000_000, 1024), (33, 1000, 1500, 1024), (50, 500, 900, 2), (50, 2000, 400, 3)])
+def test_windows(spark, monkeypatch, depth, block, windows, fan):
+    """Blocks, buckets, split buckets and two deals give what a plain scan gives."""
+    draw = random.Random(depth + block)
+    vocabulary = ["alpha", "béta", "gam", "δ", "日本語", "x", "\n"]
+    passages = [" ".join(draw.choices(vocabulary, k=40)) for _ in range(6)]
+    docs = []
+    for i in range(60):
+        parts = [draw.choice([draw.choice(passages), " ".join(draw.choices(vocabulary, k=draw.randint(0, 30)))]) for _ in range(draw.randint(0, 4))]
+        text = "".join(parts)
+        a = draw.randint(0, len(text))
+        docs.append((draw.choice([None, *range(40)]), draw.choice([text, text[a:], text[:a]])))
+    docs += [(100, "q" * 4000), (101, "q" * 70), (102, "q" * 49), (3, passages[0]), (3, passages[0]), (2, "z" * 300 + passages[1]), (2, passages[1] + "z" * 300), (103, ""), (104, None)]
+    for name, value in (("BLOCK", block), ("WINDOWS", windows), ("FAN", fan), ("SORTED", 700)):
+        monkeypatch.setattr(radix, name, value)
+    # few hot 12-grams, so that some buckets are split
+    got = radix.cut_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), depth).collect()
+    found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"] or []), bytes(r["kept"])) for r in got), key=repr)
+    assert found == plain_cut([(i, (t or "").encode()) for i, t in docs], depth)
+    assert all(r["kept_sha256"] == hashlib.sha256(bytes(r["kept"])).hexdigest() for r in got)
+
+
+def test_windows_awkward(spark, awkward, nothing):
+    got = radix.cut_repeats(awkward).collect()
+    found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"] or []), bytes(r["kept"])) for r in got), key=repr)
+    small = [(r["doc_id"], (r["text"] or "").encode()) for r in awkward.collect()]
+    assert found == plain_cut(small, 50)
+    assert radix.cut_repeats(nothing).collect() == []
+    with pytest.raises(ValueError):
+        radix.repeated_spans(awkward, 10)
