@@ -58,19 +58,21 @@ def _(t):
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-OP4_SQL = f"""with d as (select doc_id, regexp_extract_all({FOLD}, '{WORDS}') as w from documents),
-i as (select item_id, regexp_extract_all({FOLD}, '{WORDS}') as w from benchmark),
-win as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') as g
-        from (select *, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as p from i where len(w) > 0)),
+OP4_SQL = f"""with d as (select row_number() over () as r, doc_id, regexp_extract_all({FOLD}, '{WORDS}') as w from documents),
+i as (select row_number() over () as q, item_id, regexp_extract_all({FOLD}, '{WORDS}') as w from benchmark),
+iw as (select q, item_id, unnest(w) as x, generate_subscripts(w, 1) as p from i),
+il as (select item_id, count(*) over (partition by q) as n, list(x) over (partition by q order by p rows between current row and 12 following) as l from iw),
+win as (select distinct item_id, least(13, n) as n, array_to_string(l[1:least(13, n)], ' ') as g from il where len(l) >= least(13, n)),
 size as (select distinct n from win),
-gram as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') as g
-         from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, size where len(w) >= n)),
-hit as (select doc_id, item_id, p, win.n from gram join win using (n, g)),
-place as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from hit) group by 1),
-item as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, cast(item_id as varchar) as item_id from hit) group by 1)
+dw as (select r, unnest(w) as x, generate_subscripts(w, 1) as p from d),
+dl as (select r, p, list(x) over (partition by r order by p rows between current row and 12 following) as l from dw),
+gram as (select r, n, p, array_to_string(l[1:n], ' ') as g from dl, size where len(l) >= n),
+hit as (select r, item_id, p, n from gram join win using (n, g)),
+place as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + n)) as q from (select distinct r, p, n from hit)) group by 1),
+item as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, cast(item_id as varchar) as item_id from hit) group by 1)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join place using (doc_id) left join item using (doc_id)"""
+from d left join place using (r) left join item using (r)"""
 
 
 @query("op4_decontamination", OP4_SQL)
@@ -157,7 +159,7 @@ m as (select r, doc_id, cast(100 - 25 + (25 * n * n_all) // l_all as bigint) as
 score as (select q, item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as score
           from ask join wt using (t) join tf using (t) join m using (r) group by all),
 best as (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from score where score > 0)
-select item_id, rank, doc_id, cast(score as bigint) as score from best where rank <= 20"""
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from best where rank <= 20"""
 
 
 @query("op11_pair_maxscore", OP11_SQL)
