@@ -416,18 +416,115 @@ def test_tables_follow_the_restaurant():
 
 def test_spelling_is_a_distribution():
     rng = np.random.default_rng(2)
-    s = hpylm.Spelling(6)
-    cube = rng.integers(0, 4, (6, 6, 6))
-    s.sweep(cube, rng)
-    s.sweep(cube, rng)
-    missing = (hpylm.SYMBOLS - 6) / hpylm.SYMBOLS  # base mass of symbols without a place
-    assert (s.two.sum(-1) <= 1 + 1e-9).all() and (s.two.sum(-1) > 1 - missing).all() and (s.two > 0).all()
+    k = hpylm.SYMBOLS
+    s = hpylm.Spelling()
+    assert np.allclose(hpylm.log_spelled([b"ab", b""], s.lookup()), -np.log(k) * np.array([3, 1]))
+    cell = np.unique(rng.integers(0, 6, (60, 3)) @ [k * k, k, 1])
+    for _ in range(3):
+        s.sweep(cell, rng.integers(1, 9, len(cell)), rng)
+        assert np.allclose(s.two.sum(-1), 1) and np.allclose(s.one.sum(-1), 1) and abs(s.none.sum() - 1) < 1e-9 and (s.two > 0).all()
     words = [b"ab", b"", b"c"]
-    symbol = np.full(256, 4)
-    symbol[[97, 98, 99]] = [0, 1, 2]
-    cells, of = hpylm.codes(words, symbol, 6)
-    want = [(5, 5, 0), (5, 0, 1), (0, 1, 5), (5, 5, 5), (5, 5, 2), (5, 2, 5)]
-    assert of.tolist() == [0, 0, 0, 1, 2, 2] and cells.tolist() == [(a * 6 + b) * 6 + c for a, b, c in want]
+    cells, of = hpylm.codes(words)
+    e = hpylm.END
+    want = [(e, e, 97), (e, 97, 98), (97, 98, e), (e, e, e), (e, e, 99), (e, 99, e)]
+    assert of.tolist() == [0, 0, 0, 1, 2, 2] and cells.tolist() == [(a * k + b) * k + c for a, b, c in want]
+    rows, logs = s.lookup()
+    assert logs[rows[5 * k + 200], 7] == np.log(s.one[200, 7])  # a context that doesn't occur
+
+
+def test_packing():
+    for a in (np.zeros(0, np.int64), np.array([0, 5, 1 << 31]), np.array([3, 1 << 40])):
+        assert hpylm.unplane(hpylm.planes(a)).tolist() == a.tolist() and hpylm.unstep(hpylm.steps(a)).tolist() == a.tolist()
+        assert hpylm._unframed(hpylm._framed(a) + hpylm._framed(a)).tolist() == [a.tolist()] * 2
+    for words in ([], [b""], [b"a", b""], [b"", b"xyz"]):
+        assert hpylm.unpack_words(hpylm.pack_words(words), len(words)) == words
+
+
+def plain_model(texts, sweeps, burn, seed):
+    """The same hierarchy of pairs over words over a fixed uniform spelling of 257 symbols, customer by customer. Returns
+    the averaged predictive probability as a function of (previous word, word), with the given discounts."""
+    draw = random.Random(seed)
+    pairs = Counter()
+    for t in texts:
+        w = [*t.split(), ""]
+        pairs.update(zip(["", *w], w))
+    ones = lambda c: hpylm.discount_of(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    d = ones(pairs)
+    base = lambda w: hpylm.SYMBOLS ** -(len(w.encode()) + 1.0)
+    t = Counter(dict.fromkeys(pairs, 1))  # tables of pairs
+    people = Counter()
+    for _, w in pairs:
+        people[w] += 1
+    wt = Counter(dict.fromkeys(people, 1))
+    follow, samples = Counter(), []
+    for (u, _), c in pairs.items():
+        follow[u] += c
+
+    def seat(c, strength, parent, d):
+        k = 1
+        for n in range(1, c):
+            a = strength * parent
+            k += draw.random() < a / (a + n - d * k)
+        return k
+
+    for s in range(sweeps):
+        wd, n, all_t = ones(people), sum(people.values()), sum(wt.values())
+        for w, c in people.items():
+            all_t -= wt[w]
+            wt[w] = seat(c, 1 + wd * all_t, base(w), wd)
+            all_t += wt[w]
+        word = lambda w, wt=dict(wt), people=dict(people), all_t=all_t, n=n, wd=wd: (max(people.get(w, 0) - wd * wt.get(w, 0), 0) + (1 + wd * all_t) * base(w)) / (1 + n)
+        seats = Counter()
+        for (u, _), k in t.items():
+            seats[u] += k
+        if s >= burn:
+            samples.append(lambda u, w, t=dict(t), seats=dict(seats), word=word: (max(pairs[u, w] - d * t.get((u, w), 0), 0) + (1 + d * seats.get(u, 0)) * word(w)) / (1 + follow[u]))
+        for (u, w), c in pairs.items():
+            seats[u] -= t[u, w]
+            people[w] -= t[u, w]
+            t[u, w] = seat(c, 1 + d * seats[u], word(w), d)
+            seats[u] += t[u, w]
+            people[w] += t[u, w]
+    return lambda u, w: sum(x(u, w) for x in samples) / len(samples), d, sum(t.values())
+
+
+def test_scores_against_a_plain_sampler(spark, monkeypatch):
+    """Scores on a small corpus against customer-by-customer seating, with the spelling held uniform."""
+    rnd = random.Random(9)
+    chain = {w: rnd.sample("abcdefghijkl", 4) for w in "abcdefghijkl"}
+
+    def text():
+        w = [rnd.choice("abc")]
+        while len(w) < 40:
+            w.append(rnd.choice(chain[w[-1]]) if rnd.random() < 0.9 else rnd.choice("abcdefghijkl"))
+        return " ".join(w)
+
+    texts = [text() for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, i < 45) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(2)
+    monkeypatch.setattr(hpylm.Spelling, "sweep", lambda self, cell, c, rng: None)
+    monkeypatch.setattr(hpylm, "KEPT", 3)
+    got = {r["doc_id"]: r for r in hpylm.score(docs, F.col("learn"), pairs_per_bucket=500, home_bytes=1000).collect()}
+    plain, _, _ = plain_model(texts[:45], 25, 15, 1)
+    for i in range(45, 60):
+        w = [*texts[i].split(), ""]
+        want = sum(math.log10(plain(u, x)) for u, x in zip(["", *w], w))
+        assert abs(got[i]["score"] / want - 1) < 0.02, (i, got[i]["score"], want)
+
+
+def test_words_are_a_distribution():
+    """Known words and the mass of unknown ones add up to one, whatever was drawn."""
+    rng = np.random.default_rng(3)
+    words = [bytes([97 + i, 98]) for i in range(20)]
+    customers = rng.integers(0, 40, 20)
+    s = hpylm.Spelling()
+    t = hpylm.seat_words(customers, hpylm.log_spelled(words, s.lookup()), 0.6, int(customers.sum()), 25, rng)
+    cells, of = hpylm.codes(words)
+    cell, at = np.unique(cells[t[of] > 0], return_inverse=True)
+    s.sweep(cell, np.bincount(at, weights=t[of][t[of] > 0]).astype(np.int64), rng)
+    base = hpylm.log_spelled(words, s.lookup())
+    known = np.exp(hpylm.word_logs(customers, t, base, 0.6, int(customers.sum()), int(t.sum()))).sum()
+    unknown = (hpylm.STRENGTH + 0.6 * t.sum()) / (hpylm.STRENGTH + customers.sum()) * (1 - np.exp(base).sum())
+    assert abs(known + unknown - 1) < 1e-9
 
 
 def test_model_scores(spark, awkward, nothing):
@@ -459,7 +556,7 @@ def test_scores_follow_word_order(spark):
     other = text[1::2] + text[::2]
     rows += [(100, " ".join(text), False), (101, " ".join(other), False)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
-    for more in ({}, {"pairs_per_bucket": 200}):
+    for more in ({}, {"pairs_per_bucket": 200, "home_bytes": 3000}):
         got = {r["doc_id"]: r for r in hpylm.score(docs, F.col("learn"), **more).collect()}
         assert got[100]["base_score"] == pytest.approx(got[101]["base_score"]) and got[100]["score"] > got[101]["score"] + 10
         assert got[100]["score"] > got[100]["base_score"]
