@@ -10,21 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import correlation_p, ks_p
 from ..functions.scalars import pct_change
-from ..session import cut_lineage
-from .quantiles import SMALL_ROWS, order_boundary, split_ends
-from .ranks import ROWS_PER_BUCKET, running_totals, spearman
+from .quantiles import order_boundary, split_ends
+from .ranks import ONE_TASK_ROWS, ordered_places, running_totals, spearman
 
-ONE_TASK_ROWS = 1_000_000
 
-
-def two_sample(sides: DataFrame, features: Sequence[str], rows: int,
-               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def two_sample(sides: DataFrame, features: Sequence[str], rows: int, one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """KS statistic and mean shift per feature between rows marked early and late."""
     items = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]
     long = sides.select("side", F.inline(F.array(*items))).where("v is not null")
     freq = long.groupBy("feature", "v").agg(F.count_if(F.col("side") == "early").alias("e"),
                                             F.count_if(F.col("side") == "late").alias("l"))
-    cum = running_totals(freq, "feature", "v", ["e", "l"], rows, rows_per_bucket)
+    cum = running_totals(freq, "feature", "v", ["e", "l"], rows, one_task)
     tot = long.groupBy("feature").agg(
         F.count_if(F.col("side") == "early").alias("n_early"), F.count_if(F.col("side") == "late").alias("n_late"),
         F.avg(F.when(F.col("side") == "early", F.col("v"))).alias("me"),
@@ -36,12 +32,11 @@ def two_sample(sides: DataFrame, features: Sequence[str], rows: int,
 
 
 def drift(df: DataFrame, features: Sequence[str], order_by: Sequence[str], fraction: float = 0.20,
-          small_rows: int = SMALL_ROWS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+          one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """One row per feature with statistic, shift and whether it counts as drift."""
     n = df.count()
-    sides = split_ends(df.select(*order_by, *[f for f in features if f not in order_by]), order_by, fraction,
-                       small_rows=small_rows)
-    d = two_sample(sides, features, n, rows_per_bucket)
+    sides = split_ends(df.select(*order_by, *[f for f in features if f not in order_by]), order_by, fraction)
+    d = two_sample(sides, features, n, one_task)
     shift = F.col("ml") - F.col("me")
     norm = F.abs(shift) / F.when(F.coalesce("sd", F.lit(0.0)) == 0, 1.0).otherwise(F.col("sd"))
     p = ks_p(F.col("ks"), F.col("n_early").cast("double"), F.col("n_late").cast("double"))
@@ -55,39 +50,25 @@ def drift(df: DataFrame, features: Sequence[str], order_by: Sequence[str], fract
 
 
 def row_positions(df: DataFrame, keys: Sequence[str], rows: int, one_task: int = ONE_TASK_ROWS) -> DataFrame:
-    """Add `position` (from 0) in the order of unique keys.
-
-    Small tables use one window. Larger ones are range-partitioned and sorted, written once
-    to the checkpoint folder (so the ranges cannot move between passes), and numbered by
-    partition offset; no task sees more than its range.
-    """
+    """Add `position` (from 0) in the order of unique keys: one window for small tables, else
+    numbered ranges (see ranks.ordered_places)."""
     if rows <= one_task:
         return df.withColumn("position", F.row_number().over(W.orderBy(*keys)).cast("long") - 1)
-    parts = max(8, rows // one_task + 1)
-    fixed = cut_lineage(df.repartitionByRange(int(parts), *keys).sortWithinPartitions(*keys))
-    fixed = fixed.withColumns({"_p": F.spark_partition_id(),
-                               "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = fixed.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
-    # one offset row per partition
-    return (fixed.join(F.broadcast(offsets), "_p").withColumn("position", F.col("_i") + F.col("_o"))
-            .drop("_p", "_i", "_o"))
+    return ordered_places(df, keys, "position").withColumn("position", F.col("position") - 1)
 
 
 def trends(df: DataFrame, features: Sequence[str], order_by: Sequence[str], target: str | None = None,
-           fraction: float = 0.20, small_rows: int = SMALL_ROWS, one_task: int = ONE_TASK_ROWS,
-           rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+           fraction: float = 0.20, one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """Rank correlation of each feature with the row order, and its early and late means."""
     n = df.count()
     cols = [f for f in features if f not in order_by]
     placed = row_positions(df.select(*order_by, *cols), order_by, n, one_task)
-    rho = spearman(placed, [("position", f) for f in features], n, rows_per_bucket)
+    rho = spearman(placed, [("position", f) for f in features], n, one_task)
     window = max(int(n * fraction), 10)
     items = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]
     ends = df
-    early = order_boundary(df, order_by, min(window, n), small_rows)
-    not_late = order_boundary(df, order_by, max(n - window, 0), small_rows)
+    early = order_boundary(df, order_by, min(window, n))
+    not_late = order_boundary(df, order_by, max(n - window, 0))
     means = (ends.select(early.alias("_e"), (~not_late).alias("_l"), F.inline(F.array(*items))).groupBy("feature")
              .agg(F.avg(F.when(F.col("_e"), F.col("v"))).alias("em"), F.avg(F.when(F.col("_l"), F.col("v"))).alias("lm")))
     d = rho.withColumnRenamed("feature_b", "feature").join(F.broadcast(means), "feature")  # one row per feature
@@ -101,9 +82,8 @@ def trends(df: DataFrame, features: Sequence[str], order_by: Sequence[str], targ
         ((F.abs("spearman_r") >= 0.25) & (p < 0.05) & (F.col("n") >= 20)).alias("trending"))
 
 
-def chronological_split(df: DataFrame, order_by: Sequence[str], train_share: float = 0.80,
-                        small_rows: int = SMALL_ROWS) -> DataFrame:
+def chronological_split(df: DataFrame, order_by: Sequence[str], train_share: float = 0.80) -> DataFrame:
     """Column `part`: the first share of the ordered rows is train, the rest test."""
     n = df.count()
-    first = order_boundary(df, order_by, int(n * train_share), small_rows)
+    first = order_boundary(df, order_by, int(n * train_share))
     return df.withColumn("part", F.when(first, "train").otherwise("test"))

@@ -1,21 +1,24 @@
-"""Exact order statistics without bringing a column into one task.
+"""Exact order statistics by repeated bracketing.
 
-Up to SMALL_ROWS rows the built-in exact percentile is used. Beyond that a sketch pass
-brackets every wanted rank, and a second pass sorts only the values inside the brackets
-(a few rows per ten thousand). Both ways give the same exact answer.
+Nothing is sorted whole and no task sees a share of the table. A round asks a mergeable sketch for
+two values around every wanted rank and counts the rows below, at and between them; a rank that
+falls on one of the two is settled (so hot values settle at once), any other goes on between
+them with a few rows per ten thousand. Brackets of at most `SETTLE` rows are read and counted
+by value. Small tables skip the rounds.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_ROWS = 2_000_000
+SMALL_ROWS = 200_000  # tables of up to so many rows use the built-in exact percentile
+SETTLE = 2_000  # rows of a bracket that are read
 ACCURACY = 10_000
 
 
@@ -29,71 +32,67 @@ def orderable(df: DataFrame, col: str) -> Column:
     return F.col(col)
 
 
-def _brackets(df: DataFrame, wanted: dict[str, tuple[str, int, int, int]]):
-    """Per request: sketch values safely below and above the wanted ranks."""
-    aggs = []
-    for rid, (col, first, last, n) in wanted.items():
-        lo = max(0.0, first / n - 2 / ACCURACY)
-        hi = min(1.0, last / n + 2 / ACCURACY)
-        aggs.append(F.approx_percentile(F.col(col), F.array(F.lit(lo), F.lit(hi)),
-                                        F.lit(ACCURACY)).alias(rid))
-    row = df.agg(*aggs).first()
-    out = {}
-    for rid, (col, first, last, n) in wanted.items():
-        lo, hi = row[rid]
-        out[rid] = (None if first / n <= 2 / ACCURACY else lo,
-                    None if last / n >= 1 - 2 / ACCURACY else hi)
+def select_ranks(df: DataFrame, wanted: dict[str, tuple[str, int]], settle: int = SETTLE, accuracy: int = ACCURACY) -> dict[str, tuple]:
+    """Request -> (column, rank from 0 among its non-null values) to request -> (value, rows below it, rows equal to it)."""
+    out: dict[str, tuple] = {}
+    if not wanted:
+        return out
+    # open bracket, rows below it and in it
+    cols = sorted({c for c, _ in wanted.values()})
+    rows = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    left = {r: (c, k, None, None, 0, rows[c]) for r, (c, k) in wanted.items()}
+
+    def inside(c, lo, hi):
+        cond = F.col(c).isNotNull()
+        if lo is not None:
+            cond = cond & (F.col(c) > F.lit(lo))
+        return cond if hi is None else cond & (F.col(c) < F.lit(hi))
+
+    while wide := {r: x for r, x in left.items() if x[5] > settle}:
+        asks = []
+        for r, (c, k, lo, hi, below, n) in wide.items():
+            at = (k - below) / n
+            edge = [max(0.0, at - 2 / accuracy), min(1.0, at + 2 / accuracy)]
+            asks.append(F.approx_percentile(F.when(inside(c, lo, hi), F.col(c)), F.array(*map(F.lit, edge)), F.lit(accuracy)).alias(r))
+        edges = df.agg(*asks).first()
+        counts = []
+        for r, (c, k, lo, hi, below, n) in wide.items():
+            a, z = edges[r]
+            here = inside(c, lo, hi)
+            counts.append(F.array(F.count_if(here & (F.col(c) < F.lit(a))), F.count_if(here & (F.col(c) == F.lit(a))), F.count_if(here & (F.col(c) > F.lit(a)) & (F.col(c) < F.lit(z))), F.count_if(here & (F.col(c) == F.lit(z)) & F.lit(a != z))).alias(r))
+        found = df.agg(*counts).first()
+        for r, (c, k, lo, hi, below, n) in wide.items():
+            (a, z), (under, at_a, between, at_z) = edges[r], found[r]
+            steps = [(lo, a, below, under), (a, a, below + under, at_a), (a, z, below + under + at_a, between), (z, z, below + under + at_a + between, at_z)]
+            steps.append((z, hi, steps[-1][2] + at_z, n - under - at_a - between - at_z))
+            for i, (x, y, b, m) in enumerate(steps):
+                if k < b + m:
+                    if i in (1, 3):
+                        out[r] = (x, b, m)
+                        del left[r]
+                    else:
+                        left[r] = (c, k, x, y, b, m)
+                    break
+    if left:
+        picks = [F.when(inside(c, lo, hi), F.struct(F.lit(r).alias("r"), F.col(c).alias("v"))) for r, (c, _, lo, hi, _, _) in left.items()]
+        values = defaultdict(list)
+        kinds = defaultdict(list)  # one pass per type of column
+        for p, (c, *_) in zip(picks, left.values()):
+            kinds[df.schema[c].dataType.simpleString()].append(p)
+        for group in kinds.values():  # at most `settle` rows for each request
+            for x in df.select(F.explode(F.filter(F.array(*group), lambda s: s.isNotNull())).alias("s")).groupBy("s.r", "s.v").agg(F.count("*").alias("n")).collect():
+                values[x["r"]].append((x["v"], x["n"]))
+        for r, (_, k, _, _, below, _) in left.items():
+            for v, n in sorted(values[r]):
+                if k < below + n:
+                    out[r] = (v, below, n)
+                    break
+                below += n
     return out
 
 
-def ranked_values(df: DataFrame, wanted: dict[str, tuple[str, int, int, int]],
-                  small_rows: int = SMALL_ROWS) -> dict[str, tuple]:
-    """Request id -> (column, first rank, last rank, non-null rows); ranks count from 0.
-
-    Returns request id -> (value at first rank, value at last rank, rows below the first
-    value, rows equal to it).
-    """
-    if not wanted:
-        return {}
-    big = max(n for _, _, _, n in wanted.values()) > small_rows
-    limits = _brackets(df, wanted) if big else {r: (None, None) for r in wanted}
-    below_aggs, picks = [], []
-    for rid, (col, *_rest) in wanted.items():
-        lo, hi = limits[rid]
-        c = F.col(col)
-        below_aggs.append((F.count_if(c < lo) if lo is not None else F.lit(0)).alias(rid))
-        inside = c.isNotNull()
-        if lo is not None:
-            inside = inside & (c >= lo)
-        if hi is not None:
-            inside = inside & (c <= hi)
-        picks.append(F.when(inside, F.struct(F.lit(rid).alias("rid"), c.cast("double").alias("v")
-                                             if len(wanted) > 1 else c.alias("v"))))
-    below = df.agg(*below_aggs).first().asDict() if big else {r: 0 for r in wanted}
-    values = (df.select(F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("s"))
-              .groupBy("s.rid", "s.v").agg(F.count("*").alias("cnt")))
-    cum = F.sum("cnt").over(W.partitionBy("rid").orderBy("v")
-                            .rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = values.withColumn("upto", cum)
-    first_rank = F
-    last_rank = F
-    for rid, (_, first, last, _n) in wanted.items():
-        first_rank = first_rank.when(F.col("rid") == rid, first - below[rid])
-        last_rank = last_rank.when(F.col("rid") == rid, last - below[rid])
-    ranked = ranked.withColumns({"_f": first_rank, "_l": last_rank})
-    hit_f = F.col("upto") > F.col("_f")
-    rows = ranked.groupBy("rid").agg(
-        F.min(F.when(hit_f, F.col("v"))).alias("vf"),
-        F.min(F.when(F.col("upto") > F.col("_l"), F.col("v"))).alias("vl"),
-        F.min(F.when(hit_f, F.struct("v", (F.col("upto") - F.col("cnt")).alias("b"), "cnt"))).alias("at"),
-    ).collect()
-    return {r["rid"]: (r["vf"], r["vl"], r["at"]["b"] + below[r["rid"]], r["at"]["cnt"])
-            for r in rows}
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    small_rows: int = SMALL_ROWS) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles of numeric columns."""
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], small_rows: int = SMALL_ROWS) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles of numeric columns; null for a column without values."""
     cols = list(cols)
     if not cols:
         return {}
@@ -104,60 +103,51 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                        for i, c in enumerate(cols)]).first()
         return {c: list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
                 for i, c in enumerate(cols)}
-    flat = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    flat = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     wanted = {}
     for i, c in enumerate(cols):
-        for j, p in enumerate(probs):
-            if n[c]:
-                at = (n[c] - 1) * p
-                wanted[f"{i}_{j}"] = (c, math.floor(at), math.ceil(at), n[c])
-    got = ranked_values(flat, wanted, small_rows)
+        for p in probs if n[c] else []:
+            at = (n[c] - 1) * p
+            wanted |= {f"{i}_{k}": (f"c{i}", k) for k in (math.floor(at), math.ceil(at))}
+    got = select_ranks(flat, wanted)
     out = {}
     for i, c in enumerate(cols):
-        row = []
-        for j, p in enumerate(probs):
-            if not n[c]:
-                row.append(None)
-                continue
+        out[c] = [None] * len(probs)
+        for j, p in enumerate(probs if n[c] else []):
             at = (n[c] - 1) * p
-            lo, hi = got[f"{i}_{j}"][:2]
-            row.append(lo + (hi - lo) * (at - math.floor(at)))
-        out[c] = row
+            lo, hi = (got[f"{i}_{k}"][0] for k in (math.floor(at), math.ceil(at)))
+            out[c][j] = lo + (hi - lo) * (at - math.floor(at))
     return out
 
 
-def order_boundary(df: DataFrame, keys: Sequence[str], position: int,
-                   small_rows: int = SMALL_ROWS) -> Column:
+def order_boundary(df: DataFrame, keys: Sequence[str], position: int) -> Column:
     """Condition that holds for exactly the first `position` rows in the order of `keys`.
 
     Ties on one key are broken by the next; the keys together must be unique and non-null.
     """
     flat = df.select(*[orderable(df, k).alias(k) for k in keys])
     cond, prefix, left = F.lit(False), F.lit(True), position
+    n = flat.count()
     for k in keys:
-        n = flat.count()
         if left <= 0:
             return cond
         if left >= n:
             return cond | prefix
-        value, _, below, equal = ranked_values(flat, {"r": (k, left - 1, left - 1, n)}, small_rows)["r"]
+        value, below, n = select_ranks(flat, {"r": (k, left - 1)})["r"]
         here = orderable(df, k)
         cond = cond | (prefix & (here < F.lit(value)))
         prefix = prefix & (here == F.lit(value))
         left -= below
-        if left >= equal:
-            return cond | prefix
         flat = flat.where(F.col(k) == F.lit(value))
-    return cond | prefix
+    return cond | prefix if left >= n else cond
 
 
-def split_ends(df: DataFrame, order_by: Sequence[str], fraction: float = 0.20, least: int = 10,
-               small_rows: int = SMALL_ROWS) -> DataFrame:
+def split_ends(df: DataFrame, order_by: Sequence[str], fraction: float = 0.20, least: int = 10) -> DataFrame:
     """First and last `fraction` of the ordered rows, marked early / late in column `side`."""
     n = df.count()
     window = max(int(n * fraction), least)
-    early = order_boundary(df, order_by, min(window, n), small_rows)
-    not_late = order_boundary(df, order_by, max(n - window, 0), small_rows)
+    early = order_boundary(df, order_by, min(window, n))
+    not_late = order_boundary(df, order_by, max(n - window, 0))
     sides = F.concat(F.when(early, F.array(F.lit("early"))).otherwise(F.array().cast("array<string>")),
                      F.when(~not_late, F.array(F.lit("late"))).otherwise(F.array().cast("array<string>")))
     return df.withColumn("side", F.explode(sides))

@@ -2,46 +2,66 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ..session import cut_lineage
 
-ROWS_PER_BUCKET = 1_000_000
+ONE_TASK_ROWS = 200_000  # rows that one window may hold
+SPREAD_VALUES = 200_000  # rows of a rank table that is broadcast at most
 
 
-def running_totals(df: DataFrame, group: str, value: str, sums: Sequence[str], rows: int,
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def running_totals(df: DataFrame, group: str, value: str, sums: Sequence[str], rows: int, one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """Add `<sum>_upto` per group in value order. `rows` bounds the rows of one group.
 
-    Values must be unique per group (aggregate first), so no value can make a bucket hot.
-    Large groups are cut into value ranges from a quantile sketch: each range is its own
-    window, and the range totals (a bounded table) give the offsets.
+    Values must be unique per group (aggregate first), so no value can make a range hot. More
+    rows than `one_task` are sorted once by ranges of (group, value); each range adds up its own
+    rows as they stream by, and the ranges' totals (one row per range and group in it) give the offsets.
     """
-    order = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    buckets = min(4096, math.ceil(rows / rows_per_bucket))
-    if buckets <= 1:
+    if rows <= one_task:
+        order = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({f"{s}_upto": F.sum(s).over(order) for s in sums})
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = {r[group]: r["e"] for r in df.groupBy(group).agg(
-        F.approx_percentile(F.col(value), steps, F.lit(10_000)).alias("e")).collect()}
-    bounds = F.create_map(*[x for g, e in edges.items()
-                            for x in (F.lit(g), F.array(*[F.lit(v) for v in e]))])
-    df = df.withColumn("_b", F.size(F.filter(F.element_at(bounds, F.col(group)),
-                                             lambda e: e < F.col(value))))
-    totals = df.groupBy(group, "_b").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    before = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(group, "_b", *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}0")
-                                           for s in sums])
-    inside = W.partitionBy(group, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    # at most 4096 offset rows per feature
-    return (df.join(F.broadcast(offsets), [group, "_b"])
-            .withColumns({f"{s}_upto": F.sum(s).over(inside) + F.col(f"_{s}0") for s in sums})
-            .drop("_b", *[f"_{s}0" for s in sums]))
+    at_group, at_sums = df.columns.index(group), [df.columns.index(s) for s in sums]
+    schema = StructType(df.schema.fields)
+    for s in sums:
+        schema = schema.add(f"_{s}", LongType())
+    names = schema.names
+
+    def add_up(batches):
+        last, carry = None, np.zeros(len(sums), np.int64)
+        for b in batches:
+            g = b.column(at_group).to_pandas().to_numpy()
+            if not len(g):
+                continue
+            new = np.ones(len(g), bool)
+            new[1:] = g[1:] != g[:-1]
+            start = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            cols = []
+            for i, at in enumerate(at_sums):
+                c = np.cumsum(b.column(at).to_numpy(zero_copy_only=False).astype(np.int64))
+                base = np.concatenate([[0], c[start[1:] - 1]])
+                if g[0] == last:
+                    base[0] = -carry[i]
+                c = c - base[run]
+                carry[i] = c[-1]
+                cols.append(c)
+            last = g[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c) for c in cols]], names=names)
+
+    fixed = df.repartitionByRange(group, value).sortWithinPartitions(group, value).mapInArrow(add_up, schema).withColumn("_p", F.spark_partition_id())
+    fixed = cut_lineage(fixed)  # the ranges stay as they are from here
+    totals = fixed.groupBy(group, "_p").agg(*[F.max(f"_{s}").alias(f"_{s}") for s in sums])
+    before = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(group, "_p", *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}0") for s in sums])
+    # one row per range and group: broadcast
+    return fixed.join(F.broadcast(offsets), [group, "_p"]).withColumns({f"{s}_upto": F.col(f"_{s}") + F.col(f"_{s}0") for s in sums}).select(*df.columns, *[f"{s}_upto" for s in sums])
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: Sequence[str], weight: str, rows: int,
@@ -71,32 +91,54 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
         "value", "cnt", (F.col("cnt_upto") - (F.col("cnt") - 1) / 2.0).alias("avg_rank"))
 
 
-def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None = None,
-             rows_per_bucket: int = ROWS_PER_BUCKET, floor: int = 1_000_000) -> DataFrame:
+def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None = None, one_task: int = ONE_TASK_ROWS,
+             floor: int = 1_000_000, spread_values: int = SPREAD_VALUES) -> DataFrame:
     """(feature_a, feature_b, n, spearman_r) over pairwise complete rows.
 
     A column is ranked once for all pairs; only where a partner has NULLs in other rows is it
-    ranked again among the rows both have. All ranks come from one long table.
+    ranked again among the rows both have. All ranks come from one table of value counts. Ranks of
+    columns with few different values are looked up by broadcast (up to `spread_values` rows in all,
+    checked), so such rows are never shuffled; the others are placed in one long shuffle.
     """
     pairs = list(pairs)
     cols = list(dict.fromkeys(c for p in pairs for c in p))
     at = {c: f"c{i}" for i, c in enumerate(cols)}
-    base = cut_lineage(df.select(*[F.col(c).cast("double").alias(at[c]) for c in cols]).withColumn("_row", F.monotonically_increasing_id()))
-    full = base.agg(F.count("*").alias("rows"), *[F.count(x).alias(x) for x in at.values()],
-                    *[F.count_if(F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    plain = df.select(*[F.col(c).cast("double").alias(at[c]) for c in cols])
+    full = plain.agg(F.count("*").alias("rows"), *[F.count(x).alias(x) for x in at.values()],
+                     *[F.count_if(F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
     rows = full["rows"]
     jobs: dict[tuple[str, str | None], int] = {}
     sides = []
     for i, (a, b) in enumerate(pairs):
         sides.append([jobs.setdefault((c, None if full[at[c]] == full[f"p{i}"] else o), len(jobs)) for c, o in ((a, b), (b, a))])
-    items = [F.struct(F.lit(j).alias("job"), (F.col(at[c]) if o is None else F.when(F.col(at[o]).isNotNull(), F.col(at[c]))).alias("v")) for (c, o), j in jobs.items()]
-    long = base.select("_row", F.inline(F.array(*items))).where("v is not null")
-    freq = long.groupBy("job", "v").agg(F.count("*").alias("c"))
-    ranks = running_totals(freq, "job", "v", ["c"], rows, rows_per_bucket).select("job", "v", F.col("c").alias("w"), (F.col("c_upto") - (F.col("c") - 1) / 2.0).alias("r"))
-    placed = lookup(long, ranks, ["job", "v"], "w", rows, floor)
-    wide = placed.groupBy("_row").agg(*[F.max(F.when(F.col("job") == j, F.col("r"))).alias(f"r{j}") for j in jobs.values()])
+    value = {j: F.col(at[c]) if o is None else F.when(F.col(at[o]).isNotNull(), F.col(at[c])) for (c, o), j in jobs.items()}
+    items = lambda which: F.array(*[F.struct(F.lit(j).alias("job"), value[j].alias("v")) for j in which])
+    freq = plain.select(F.inline(items(jobs.values()))).where("v is not null").groupBy("job", "v").agg(F.count("*").alias("c"))
+    ranks = running_totals(freq, "job", "v", ["c"], rows, one_task).select("job", "v", F.col("c").alias("w"), (F.col("c_upto") - (F.col("c") - 1) / 2.0).alias("r"))
+    ranks = cut_lineage(ranks)
+    size = {r["job"]: r["n"] for r in ranks.groupBy("job").agg(F.count("*").alias("n")).collect()}  # one row per ranked column
+    few, room = [], spread_values
+    for j in sorted(size, key=size.get):
+        if size[j] <= room:
+            few.append(j)
+            room -= size[j]
+    many = [j for j in size if j not in few]
+    wide = plain
+    for j in few:
+        mine = ranks.where(F.col("job") == j).select(F.col("v").alias(f"v{j}"), F.col("r").alias(f"r{j}"))
+        wide = wide.join(F.broadcast(mine), value[j] == F.col(f"v{j}"), "left").drop(f"v{j}")
+    if many:
+        wide = cut_lineage(wide.withColumn("_row", F.monotonically_increasing_id()))
+        long = wide.select("_row", F.inline(items(many))).where("v is not null")
+        placed = lookup(long, ranks, ["job", "v"], "w", rows, floor)
+        if few:
+            placed = placed.select("_row", "job", "r", *[F.lit(None).cast("double").alias(f"r{j}") for j in few]).unionByName(wide.select("_row", F.lit(-1).alias("job"), F.lit(None).cast("double").alias("r"), *[f"r{j}" for j in few]))
+        wide = placed.groupBy("_row").agg(*[F.max(F.when(F.col("job") == j, F.col("r"))).alias(f"r{j}") for j in many], *[F.max(f"r{j}").alias(f"r{j}") for j in few])
     sums = []
     for i, (x, y) in enumerate(sides):
+        if x not in size or y not in size:
+            sums += [F.lit(None).cast("double").alias(f"{k}{i}") for k in ("xy", "xx", "yy")]
+            continue
         mid = (full[f"p{i}"] + 1) / 2.0
         dx, dy = F.col(f"r{x}") - mid, F.col(f"r{y}") - mid
         both = dx.isNotNull() & dy.isNotNull()

@@ -29,9 +29,29 @@ def test_profile_paths_agree(skewed):
     assert column_profile(skewed).collect() == column_profile(skewed, small_rows=10).collect()
 
 
+@pytest.mark.parametrize("settle,accuracy", [(2000, 10_000), (5, 20), (1, 100)])
+def test_ranks_by_bracketing(skewed, settle, accuracy):
+    """Every bracket width gives the sorted table's value and counts; a third of the rows share a value."""
+    pdf = skewed.toPandas()
+    wanted = {f"{c}{k}": (c, k) for c in ("x", "y", "id") for k in (0, 1, 700, 2999, 4500, 5999)}
+    got = quantiles.select_ranks(skewed, wanted, settle, accuracy)
+    for r, (c, k) in wanted.items():
+        v = pdf[c].sort_values().iloc[k]
+        assert got[r] == (v, (pdf[c] < v).sum(), (pdf[c] == v).sum()), r
+
+
+def test_running_totals_by_ranges(spark):
+    rows = [(g, float(v), v % 5 + 1, v % 3) for g in (0, 1, 2) for v in range(7, 400 * (g + 1))]
+    df = spark.createDataFrame(rows, "g int, v double, a long, b long").repartition(7)
+    pdf = df.toPandas().sort_values(["g", "v"])
+    for one_task in (10, 10_000):
+        got = ranks.running_totals(df, "g", "v", ["a", "b"], 1200, one_task).toPandas().sort_values(["g", "v"])
+        assert got.a_upto.tolist() == pdf.groupby("g").a.cumsum().tolist() and got.b_upto.tolist() == pdf.groupby("g").b.cumsum().tolist()
+
+
 @pytest.mark.parametrize("position", [0, 1, 1999, 2500, 6000])
 def test_order_boundary(skewed, position):
-    cond = quantiles.order_boundary(skewed, ["x", "id"], position, small_rows=10)
+    cond = quantiles.order_boundary(skewed, ["x", "id"], position)
     got = {r.id for r in skewed.where(cond).collect()}
     pdf = skewed.toPandas().sort_values(["x", "id"])
     assert got == set(pdf.id.head(position))
@@ -40,7 +60,7 @@ def test_order_boundary(skewed, position):
 def test_spearman_with_hot_value(skewed):
     pdf = skewed.toPandas()
     want = pdf.x.rank().corr(pdf.y.rank())
-    for kw in ({}, {"rows_per_bucket": 500, "floor": 1}):
+    for kw in ({}, {"one_task": 500, "floor": 1, "spread_values": 0}, {"one_task": 500, "floor": 1, "spread_values": 1000}):
         got = ranks.spearman(skewed, [("x", "y")], **kw).first()
         assert got["spearman_r"] == pytest.approx(want, abs=1e-9)
         assert got["n"] == 6000
@@ -51,7 +71,7 @@ def test_row_positions_and_drift_paths(spark, skewed):
     got = drift.row_positions(d, ["x", "id"], 6000, one_task=100).toPandas().sort_values(["x", "id"])
     assert got.position.tolist() == list(range(6000))
     a = drift.drift(d, ["x", "y"], ["id"]).orderBy("feature").collect()
-    b = drift.drift(d.coalesce(1), ["x", "y"], ["id"], small_rows=10, rows_per_bucket=300).orderBy("feature").collect()
+    b = drift.drift(d.coalesce(1), ["x", "y"], ["id"], one_task=300).orderBy("feature").collect()
     assert a == b
 
 
