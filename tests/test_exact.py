@@ -118,6 +118,23 @@ def test_dbscan_matches_brute_force(spark):
     assert len(got) == len(x) and len(set(names.values())) == len(names)
 
 
+def test_dbscan_grid_matches_brute_force(spark):
+    """All settings of one run, with numbers in the order of the smallest core key."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, .4, (70, 3)), rng.normal(2.5, .5, (60, 3)), rng.uniform(-3, 6, (50, 3)), np.tile([[7.0, 7.0, 7.0]], (40, 1))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double").repartition(3)
+    eps, least = (0.3, 0.6, 1.0, 2.0), (3, 4, 9)
+    for cols in (["a", "b"], ["a", "b", "c"]):
+        got = dbscan.dbscan_grid(df, cols, "id", eps, least).toPandas()
+        assert len(got) == len(x) * len(eps) * len(least)
+        for e in eps:
+            for m in least:
+                mine = got[(got.eps == e) & (got.min_samples == m)].sort_values("id").label.tolist()
+                assert mine == brute_dbscan(x[:, :len(cols)], e, m).tolist(), (cols, e, m)
+    status = {(r.eps, r.min_samples): r for r in dbscan.grid_status(dbscan.dbscan_grid(df, ["a", "b"], "id", (0.01, 1.0), (4,))).collect()}
+    assert status[0.01, 4].status == "rejected" and status[0.01, 4].noise_pct > 60 and status[1.0, 4].status in ("candidate", "rejected")
+
+
 def test_knn_fill_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     n = 240
