@@ -361,7 +361,8 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id")
     dealt = rows.mapInArrow(deal, ROW_TYPES)
     if buckets > FAN:
         dealt = dealt.repartition(FAN, "bucket").sortWithinPartitions("bucket").mapInArrow(finer, ROW_TYPES)
-    return dealt.groupBy("bucket").applyInArrow(settle, "id long, text_key long, start long, stop long").withColumn("text_key", F.when(F.lit(wide), F.col("text_key")).otherwise(F.lit(0)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, 20_000))  # a task holds a few buckets, however large the table
+    return dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(settle, "id long, text_key long, start long, stop long").withColumn("text_key", F.when(F.lit(wide), F.col("text_key")).otherwise(F.lit(0)))
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -164,9 +164,29 @@ def _(t):
     return clustering.bisecting(scaled_planted(t), I.PLANTED_FEATURES, 4)[1].select("id", "cluster")
 
 
-@query("clu06_dbscan")
-def _(t):
-    return db.dbscan(scaled_planted(t), ["f1", "f2"], "id", 0.3, 5)
+DBSCAN_SQL = f"""with recursive {I.PLANTED.strip()},
+pt as (select id, (f1 - avg(f1) over ()) / stddev_pop(f1) over () as a, (f2 - avg(f2) over ()) / stddev_pop(f2) over () as b from planted),
+e as (select unnest([0.3::double, 0.5::double, 0.8::double, 1.0::double, 1.5::double, 2.0::double]) as eps), ms as (select unnest([4, 5, 8, 10]) as m),
+near as (select eps, x.id as i, y.id as j, (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) as d from pt x, pt y, e where (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) <= eps * eps),
+core as (select eps, m, i from (select eps, i, count(*) as c from near group by all), ms where c >= m),
+edge as (select near.eps, x.m, near.i, near.j from near join core x on near.eps = x.eps and near.i = x.i join core y on near.eps = y.eps and near.j = y.i and x.m = y.m),
+lab(eps, m, i, l) using key (eps, m, i) as (select eps, m, i, i from core union
+  select edge.eps, edge.m, edge.i, min(lab.l) from edge join lab on edge.eps = lab.eps and edge.m = lab.m and edge.j = lab.i
+  join recurring.lab cur on cur.eps = edge.eps and cur.m = edge.m and cur.i = edge.i group by edge.eps, edge.m, edge.i, cur.l having min(lab.l) < cur.l),
+num as (select eps, m, i, dense_rank() over (partition by eps, m order by l) - 1 as label from lab),
+edgeless as (select e.eps, ms.m, pt.id from e, ms, pt anti join core on core.eps = e.eps and core.m = ms.m and core.i = pt.id),
+border as (select o.eps, o.m, o.id, coalesce(arg_min(num.label, (near.d, num.label)), -1) as label from edgeless o left join near on near.eps = o.eps and near.i = o.id
+  left join num on num.eps = o.eps and num.m = o.m and num.i = near.j group by all),
+every as (select eps, m, i as id, label from num union all select eps, m, id, label from border),
+state as (select eps, m, case when max(label) + 1 < 2 or round(avg((label < 0)::int) * 100, 4) > 60 then 'rejected' else 'candidate' end as status from every group by all)
+select eps, m as min_samples, id, cast(label as bigint) as label, status from every join state using (eps, m)"""
+
+
+@query("clu06_dbscan", DBSCAN_SQL)
+def _(t):
+    """Labels and verdict of all 24 settings."""
+    labels = db.dbscan_grid(scaled_planted(t), ["f1", "f2"], "id")
+    return labels.join(F.broadcast(db.grid_status(labels).select("eps", "min_samples", "status")), ["eps", "min_samples"])  # one row per setting
 
 
 @query("clu08_candidate_comparison")

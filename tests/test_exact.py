@@ -135,7 +135,19 @@ def test_dbscan_grid_matches_brute_force(spark):
     assert status[0.01, 4].status == "rejected" and status[0.01, 4].noise_pct > 60 and status[1.0, 4].status in ("candidate", "rejected")
 
 
-def test_knn_fill_matches_brute_force(spark):
+def test_donor_blocks_are_bounded(spark):
+    """A constant first column, a hot second one, and an outlier: no block outgrows its bound, boxes hold their donors."""
+    d = spark.range(5400).select(F.lit("111").alias("pat"), F.array(F.lit(3.0), F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") == 1, 1e9).otherwise((F.col("id") % 11).cast("double")), (F.col("id") * 7919 % 5400).cast("double")).alias("v"), F.lit(1).alias("w"))
+    leaves, tree = impute.donor_tree(d, 3, 100)
+    sizes = leaves.groupBy("block").count().toPandas()
+    assert sizes["count"].max() <= 100 and sizes["count"].sum() == 5400
+    inside = leaves.join(tree, F.col("block") == F.col("node")).where("leaf")
+    assert inside.count() == 5400 and inside.where("exists(arrays_zip(v, lo, hi), z -> z.v < z.lo or z.v > z.hi)").count() == 0
+    assert tree.where("parent is null").count() == 1 and tree.where("leaf").count() == len(sizes)
+
+
+@pytest.mark.parametrize("block", [1, 30])
+def test_knn_fill_matches_brute_force(spark, block):
     rng = np.random.default_rng(5)
     n = 240
     x = np.round(rng.normal(0, 1, (n, 3)), 3)
@@ -146,7 +158,7 @@ def test_knn_fill_matches_brute_force(spark):
     rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(y)]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double")
     k = 4
-    got = {r.id: (r.a, r.b, r.c) for r in impute.knn_fill(df, ["a", "b", "c"], ["id"], k=k, block_rows=1, needy_rows=7).collect()}
+    got = {r.id: (r.a, r.b, r.c) for r in impute.knn_fill(df, ["a", "b", "c"], ["id"], k=k, block_rows=block, needy_rows=7).collect()}
     for i in range(n):
         for j in range(3):
             if not np.isnan(y[i, j]):
