@@ -9,6 +9,7 @@ of labelled rows.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
+REJECT = 0.25  # least score of a recognised language: a toss-up on both levels (documents of learned languages scored 0.35 or more)
+COVERED = 0.5  # least share of a recognised text's letters that are letters of the learned languages
+LETTER_SHARE = 0.005  # of the sampled texts must hold a letter that counts as learned
 SAMPLE_ROWS = 2000  # labelled rows that are fitted at most, shared evenly by the languages
 PIECE = 1 << 20  # bytes counted at a time
 
@@ -76,6 +80,12 @@ class Model:
     languages: dict[str, list[str]]
     level1: np.ndarray  # one row per pair of families
     level2: dict[str, np.ndarray]  # one row per pair of a family's languages
+    letters: frozenset[str] = frozenset()  # of the learned languages, lower-cased
+
+    def knows(self, text: str, least: float = REJECT) -> bool:
+        """Whether a learned language is recognised in the text."""
+        mine = [c for c in text.lower() if c.isalpha()]
+        return bool(mine) and sum(c in self.letters for c in mine) >= COVERED * len(mine) and self.predict(text)[1] >= least
 
     @staticmethod
     def _vote(w: np.ndarray, names: list[str], v: np.ndarray) -> tuple[str, float]:
@@ -124,18 +134,21 @@ def fit(labelled: DataFrame, key: Column, sample: int = SAMPLE_ROWS) -> Model |
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
                 vec = [features(t.as_py()).astype(np.float16).tobytes() for t in part.column(0)]
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(vec, pa.binary())], names=["lang", "at", "vec"])
+                seen = ["".join(sorted({c for c in t.as_py().lower() if c.isalpha()})) for t in part.column(0)]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(vec, pa.binary()), pa.array(seen, pa.string())], names=["lang", "at", "vec", "letters"])
 
-    got = picked.mapInArrow(run, "lang string, at long, vec binary").toArrow()
+    got = picked.mapInArrow(run, "lang string, at long, vec binary, letters string").toArrow()
     got = got.sort_by([("lang", "ascending"), ("at", "ascending"), ("vec", "ascending")])
     x = np.empty((got.num_rows, DIMENSIONS), np.float32)
     for i, v in enumerate(got.column("vec")):
         x[i] = np.frombuffer(v.as_buffer(), np.float16)
     langs = np.array(got.column("lang").to_pylist(), object)
+    held = Counter(c for t in got.column("letters").to_pylist() for c in t)
+    letters = frozenset(c for c, n in held.items() if n >= LETTER_SHARE * len(langs))
     del got
     fams = np.array([family(g) for g in langs], object)
     by = {f: sorted({g for g, h in zip(langs, fams) if h == f}) for f in sorted(set(fams))}
-    return Model(list(by), by, _pairs(list(by), fams, x), {f: _pairs(by[f], langs[fams == f], x[fams == f]) for f in by})
+    return Model(list(by), by, _pairs(list(by), fams, x), {f: _pairs(by[f], langs[fams == f], x[fams == f]) for f in by}, letters)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,16 +177,22 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", sample: int
     return predict(docs, model, id_col)
 
 
-def keep_known(docs: DataFrame, learn: Column, id_col: str = "doc_id", sample: int = SAMPLE_ROWS) -> DataFrame:
-    """Rows of `docs` with a recognised language (not `und`), all columns as they were."""
+def keep_known(docs: DataFrame, learn: Column, id_col: str = "doc_id", sample: int = SAMPLE_ROWS, least: float = REJECT) -> DataFrame:
+    """Rows of `docs` in a language that was learned, all columns as they were.
+
+    Null, empty and letterless texts go, texts of which most letters belong to no learned language, and
+    texts whose prediction scores below `least`. Where nothing was learned, all texts with a letter stay."""
     labelled = docs.where(learn).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col(id_col).cast("string").alias("k"))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(labelled, F.col("k"), sample))
+    model = fit(labelled, F.col("k"), sample)
+    lettered = docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    if model is None:
+        return lettered
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            known = [m is not None and t.is_valid and m.predict(t.as_py())[0] != "und" for t in b.column(at)]
+            known = [t.is_valid and sent.value.knows(t.as_py(), least) for t in b.column(at)]
             yield b.filter(pa.array(known, pa.bool_()))
 
-    return docs.where(F.col("text").cast("string").rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+    return lettered.mapInArrow(run, docs.schema)

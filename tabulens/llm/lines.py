@@ -93,13 +93,16 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN
     A row whose text another row with a smaller id also has is a later copy as a whole: all its
     lines go if they have min_words words together. Rows with equal id and text count as one
     document and get the same result; rows with a null id come last. Null texts stay null, with
-    0 lines; empty texts and blank lines stay. Ids are integers.
+    0 lines; empty texts and blank lines stay. Ids are integers. Columns of `docs` that are called
+    n_lines or n_removed are replaced.
     """
     text = F.col("text").cast("string")
     runs = repeated_runs(docs, id_col, min_words)
     lost = runs.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("no")).distinct()
     lost = lost.groupBy("key").agg(F.collect_set("no").alias("_lost"))
-    keyed = docs.withColumns({"_key": F.md5(text.cast("binary")), "_id": F.col(id_col).cast("long")})
+    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), text.alias("text"), F.md5(text.cast("binary")).alias("_key"), F.col(id_col).cast("long").alias("_id"))
+    text = F.col("text")
     copies = keyed.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("_first"), F.count_distinct("_id").alias("_ids"), F.count_if(F.col("_id").isNull()).alias("_none"))
     copies = copies.where("_ids > 1 or _none > 0 or _first is null").select("_key", "_first")
     marks = lost.withColumnRenamed("key", "_key").join(copies, "_key", "full").withColumn("_copied", F.lit(True))
@@ -111,5 +114,5 @@ def delete_repeats(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN
     whole = F.coalesce(F.col("_first").isNotNull() & (F.col("_id").isNull() | (F.col("_id") > F.col("_first"))), F.lit(False)) & (F.regexp_count(text, F.lit(WORD)) >= min_words)
     d = d.withColumn("_gone", F.when(whole, F.col("_filled")).when(F.col("_lost").isNotNull(), F.transform("_lost", lambda p: F.get("_filled", p))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(text)}
+    out = {c: F.col("_row").getField(c) for c in rest} | {"text": F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(text)}
     return d.select(*[v.alias(c) for c, v in out.items()], F.coalesce(F.size("_filled"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -1,9 +1,9 @@
 """Secrets in texts: strong patterns, and weak parts of credentials that complete each other.
 
 Matches become intervals of code points. A weak part (an identifier, a key or an endpoint) is
-reported only if a complementary part, weak or strong, lies within `REACH` code points of it in
-the same scope: identifier with key, key with endpoint. Scopes are the stretches of a text
-between blank lines. The interval join is a sweep over the sorted intervals of a scope, forwards
+reported only if a complementary part, weak or strong, lies in the same scope: identifier with
+key, key with endpoint. Scopes are the stretches of a text between blank lines; `reach` can bound
+the distance within a scope too. The interval join is a sweep over the sorted intervals of a scope, forwards
 and backwards, so a text with many parts never pairs them all.
 """
 
@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 
-REACH = 200
 # Patterns of the strong kinds and the least length that counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 characters or more; a run cannot be cut shorter
@@ -40,7 +39,7 @@ def _matches(text: Column, kind: str, pattern: str, wanted: Column) -> Column:
     return F.when(wanted, every).otherwise(F.array().cast("array<struct<kind:string,no:int,skip:int,len:int,value:int>>"))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", reach: int = REACH) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", reach: int | None = None) -> DataFrame:
     """(id_col, text_key, kind, start, stop, strong): reported intervals in code points, stop exclusive.
 
     Weak parts that overlap a strong interval are left out. Null and empty texts have none.
@@ -70,7 +69,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", reach: int = REACH) -> DataFr
     sees = {}
     for r in ("ident", "key", "endpoint"):
         near = F.when(F.col("role") == r, F.col("stop")), F.when(F.col("role") == r, F.col("start"))
-        sees[f"near_{r}"] = F.coalesce(F.col("start") - F.max(near[0]).over(before) <= reach, F.lit(False)) | F.coalesce(F.min(near[1]).over(after) - F.col("stop") <= reach, F.lit(False))
+        gaps = F.col("start") - F.max(near[0]).over(before), F.min(near[1]).over(after) - F.col("stop")
+        close = [g.isNotNull() if reach is None else F.coalesce(g <= reach, F.lit(False)) for g in gaps]
+        sees[f"near_{r}"] = close[0] | close[1]
     hard = F.when(F.col("strong"), F.col("stop")), F.when(F.col("strong"), F.col("start"))
     sees["covered"] = F.coalesce(F.max(hard[0]).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(hard[1]).over(after) < F.col("stop"), F.lit(False))
     rows = rows.withColumns(sees)
@@ -78,9 +79,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", reach: int = REACH) -> DataFr
     return rows.where(F.col("strong") | (linked & ~F.col("covered") & (F.col("kind") != "blank"))).select(F.col("id").alias(id_col), "text_key", "kind", "start", "stop", "strong")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", reach: int | None = None) -> DataFrame:
     """One row per row of `docs`: (id_col, found): array of (start, place of the kind, kind, stop,
-    strong), in order. Empty for null, empty and clean texts; equal rows get equal results."""
+    strong), in order. Empty for null, empty and clean texts; equal rows get equal results, null ids included;
+    an empty table gives no rows."""
     found = spans(docs, id_col, reach)
     order = F.lit(0)
     for k, i in ORDER.items():
@@ -106,7 +108,7 @@ sc as (select a.*, (select count(*) from seen b where b.doc_id = a.doc_id and b.
 kept as (select a.* from sc a where strong or (kind <> 'blank'
   and not exists (select 1 from sc b where b.doc_id = a.doc_id and b.scope = a.scope and b.strong and b.start < a.stop and a.start < b.stop)
   and exists (select 1 from sc b where b.doc_id = a.doc_id and b.scope = a.scope and (b.start, b.stop, b.kind) <> (a.start, a.stop, a.kind)
-    and ((a.role in ('ident', 'endpoint') and b.role = 'key') or (a.role = 'key' and b.role in ('ident', 'endpoint'))) and b.start - a.stop <= {REACH} and a.start - b.stop <= {REACH}))),
+    and ((a.role in ('ident', 'endpoint') and b.role = 'key') or (a.role = 'key' and b.role in ('ident', 'endpoint')))))),
 agg as (select doc_id, list({{'kind': kind, 'start': start, 'stop': stop, 'strong': strong}} order by start, place) as l from kept group by 1),
 every as (select doc_id, coalesce(l, []) as l from documents left join agg using (doc_id))
 select doc_id, len(list_filter(l, lambda x: x.kind = 'assign')) as n_assign, len(list_filter(l, lambda x: x.kind = 'access')) as n_access, len(list_filter(l, lambda x: x.kind = 'hex')) as n_hex,

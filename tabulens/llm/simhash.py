@@ -130,7 +130,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of `docs` whose id is the smallest of its component; repeated rows stay once.
-    Rows with a null id are kept."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col, text_col]).select(docs.columns)
+    """One row of `docs` for every component: the one with the smallest id (null ids last, then by the
+    text's digest). An id that stands on several texts is judged text by text."""
+    digest = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))  # one struct, so that no column can clash
+    texts = docs.select(digest.alias("digest"), F.col(text_col).cast("string").alias("text"))
+    part = near_duplicates(texts, "digest", "text").select("digest", F.col("component_id").alias("component")).distinct()
+    slim = rows.select("id", "digest").distinct().join(part, "digest")
+    first = slim.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("s")).select(F.col("s.id").alias("keep_id"), F.col("s.digest").alias("keep"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep")), "left_semi")
+    return kept.dropDuplicates(["id", "digest"]).select("row.*")

@@ -119,6 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of `docs` that are not contaminated."""
-    bad = contamination(docs, benchmark, id_col).where("contaminated").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64(F.col("text").cast("string"))
-    return docs.withColumn("_k", key).join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti").select(docs.columns)
+    bad = contamination(docs, benchmark, id_col).where("contaminated").select(F.col(id_col).alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    # the columns travel in one struct, so that none can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("row.*")

@@ -562,6 +562,38 @@ def test_scores_follow_word_order(spark):
         assert got[100]["score"] > got[100]["base_score"]
 
 
+def test_keep_known(spark):
+    """Scripts and letter salads that no learned language covers go; without labels every text with a letter stays."""
+    learned = [(i, " ".join(random.Random(i).choices(w, k=60)), g) for i in range(120) for g, w in (("en", "the of house tree water green walks this with over".split()), ("de", "das und haus baum wasser grün läuft dieser mit über".split()))]
+    odd = [(1000, "日本語のテキストです。今日は天気がいい", None), (1001, "12 34", None), (1002, None, "en"), (1003, "the water of this green house walks over the tree with the house", None)]
+    docs = spark.createDataFrame([(i * 2 + (g == "de"), t, g) for i, t, g in learned] + odd, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in language.keep_known(docs, F.col("doc_id") < 1000).collect()}
+    assert kept == {*range(240), 1003}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_known(bare, F.lit(True)).count() == 242
+
+
+def test_keep_one_judges_texts(spark):
+    """One id on two texts, null ids and clashing columns: exactly one row per component, clean texts stay."""
+    a = " ".join(f"w{i}" for i in range(80))
+    b = " ".join(f"v{i}" for i in range(80))
+    c = " ".join(f"u{i}" for i in range(80))
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, c + " more"), (None, a), (7, None), (8, ""), (9, c)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, digest int, row int, keep_id int")
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (7, None), (9, c)], key=repr) and simhash.keep_one(docs).columns == docs.columns
+
+
+def test_clashing_columns(spark):
+    passage = " ".join(f"b{i}" for i in range(60))
+    names = "_lost _gone _first _key _id _k n_lines n_removed row key id".split()
+    docs = spark.createDataFrame([(i, t, *range(len(names))) for i, t in ((1, passage), (2, passage + "\nnew line"), (3, "clean words"))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = lines.delete_repeats(docs)
+    assert sorted(out.columns) == sorted(docs.columns) and {r["doc_id"]: (r["text"], r["_lost"]) for r in out.collect()} == {1: (passage, 0), 2: ("new line", 0), 3: ("clean words", 0)}
+    kept = winnow.drop_contaminated(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [3]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
