@@ -28,7 +28,7 @@ def running_totals(df: DataFrame, group: str, value: str, sums: Sequence[str], r
         order = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({f"{s}_upto": F.sum(s).over(order) for s in sums})
     at_group, at_sums = df.columns.index(group), [df.columns.index(s) for s in sums]
-    schema = StructType(df.schema.fields)
+    schema = StructType([*df.schema.fields])
     for s in sums:
         schema = schema.add(f"_{s}", LongType())
     names = schema.names

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import clean, clustering, clusters, dbscan as db, encode, evaluate as ev, extract, iforest, models, stats
+from ..operators.birch import birch
 from ..operators.ranks import number_rows
 from . import inputs as I
 from .registry import query
@@ -159,6 +160,18 @@ def _(t):
     return clustering.two_phase_ward(scaled_planted(t), I.PLANTED_FEATURES, [4], ["id"])[4].select("id", "cluster")
 
 
+@query("clu03_birch", f"""with {I.PLANTED.strip()}, g as (select cluster, far, dense_rank() over (order by min(id)) - 1 as label from planted group by all)
+  select id, cast(label as bigint) as cluster from planted join g using (cluster, far)""")
+def _(t):
+    """Birch finds the planted groups; clusters are numbered by their smallest id."""
+    d = scaled_planted(t)
+    k = I.planted(t).select("cluster", "far").distinct().count()
+    got = birch(d, ["f1", "f2"], [k]).select("id", F.get("clusters", F.lit(0)).alias("c"))
+    first = got.groupBy("c").agg(F.min("id").alias("first"))  # one row per cluster
+    names = number_rows(first, ["first"]).select("c", (F.col("rank") - 1).alias("cluster"))
+    return got.join(F.broadcast(names), "c").select("id", "cluster")
+
+
 @query("clu04_bisecting_kmeans")
 def _(t):
     return clustering.bisecting(scaled_planted(t), I.PLANTED_FEATURES, 4)[1].select("id", "cluster")
