@@ -17,7 +17,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,6 +26,7 @@ from .quantiles import SMALL_ROWS, exact_quantiles
 from .ranks import number_rows
 from .sampling import hash_unit, key_hash, stratified_folds
 from .stats import importance_table
+from .trees import ExtraTrees, MultinomialBoosting, TreeModel
 
 MAX_CLASSES = 1_000
 SEED = 42
@@ -98,9 +99,7 @@ def classification_candidates(spec: Spec, n_classes: int, n: int) -> dict[str, C
     w = {"labelCol": "label", "weightCol": "weight"}
     out: dict[str, Callable | None] = {
         "RandomForest": lambda: RandomForestClassifier(numTrees=spec.trees, maxDepth=spec.depth, minInstancesPerNode=2, seed=SEED, **w),
-        # nearest built-in form of extremely randomised trees: no bootstrap, coarse random splits
-        "ExtraTrees": lambda: RandomForestClassifier(numTrees=spec.trees, maxDepth=spec.depth, minInstancesPerNode=2, bootstrap=False,
-                                                     featureSubsetStrategy="sqrt", maxBins=16, seed=SEED + 1, **w),
+        "ExtraTrees": lambda: ExtraTrees("classification", spec.trees, spec.depth, 2, weightCol="weight", seed=SEED + 1),
         "LogisticRegression": lambda: _scaled(LogisticRegression(maxIter=100, tol=1e-4, regParam=penalty, **w)),
     }
     svc = lambda: LinearSVC(maxIter=50, tol=1e-4, regParam=penalty, labelCol="label", weightCol="weight")
@@ -110,7 +109,7 @@ def classification_candidates(spec: Spec, n_classes: int, n: int) -> dict[str, C
         out["GradientBoosting"] = gbt
     else:
         out["LinearSVC"] = lambda: _scaled(OneVsRest(classifier=svc().setFeaturesCol("scaled"), labelCol="label", weightCol="weight"))
-        out["GradientBoosting"] = lambda: OneVsRest(classifier=gbt(), labelCol="label")  # slow with many classes, never left out
+        out["GradientBoosting"] = lambda: MultinomialBoosting(spec.rounds, 4, 0.05, 0.85, weightCol="weight", seed=SEED)
     out["XGBoost"] = _xgboost("classification")
     return out
 
@@ -118,8 +117,7 @@ def classification_candidates(spec: Spec, n_classes: int, n: int) -> dict[str, C
 def regression_candidates(spec: Spec, n: int) -> dict[str, Callable]:
     return {
         "RandomForest": lambda: RandomForestRegressor(numTrees=spec.trees, maxDepth=spec.depth, minInstancesPerNode=3, seed=SEED, labelCol="label"),
-        "ExtraTrees": lambda: RandomForestRegressor(numTrees=spec.trees, maxDepth=spec.depth, minInstancesPerNode=3, bootstrap=False,
-                                                    featureSubsetStrategy="sqrt", maxBins=16, seed=SEED + 1, labelCol="label"),
+        "ExtraTrees": lambda: ExtraTrees("regression", spec.trees, spec.depth, 3, seed=SEED + 1),
         "GradientBoosting": lambda: GBTRegressor(maxIter=spec.rounds, maxDepth=5, stepSize=0.05, subsamplingRate=0.85, seed=SEED, labelCol="label"),
         # ridge penalty 1.0 on the sum of squares is 1/n on the mean
         "Ridge": lambda: _scaled(LinearRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, labelCol="label")),
@@ -344,12 +342,16 @@ def score_new(features: PipelineModel, model, labels: Sequence[str], df: DataFra
 
 def save(path: str, features: PipelineModel, model) -> None:
     features.write().overwrite().save(f"{path}/features")
+    if isinstance(model, TreeModel):
+        model.save(SparkSession.getActiveSession(), f"{path}/trees")
+        return
     wrapped = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
     wrapped.write().overwrite().save(f"{path}/model")
 
 
-def load(path: str) -> tuple[PipelineModel, PipelineModel]:
-    return PipelineModel.load(f"{path}/features"), PipelineModel.load(f"{path}/model")
+def load(path: str, trees: bool = False) -> tuple[PipelineModel, PipelineModel | TreeModel]:
+    """Features and model; `trees` says that the model is one of this library's own."""
+    return PipelineModel.load(f"{path}/features"), TreeModel.load(SparkSession.getActiveSession(), f"{path}/trees") if trees else PipelineModel.load(f"{path}/model")
 
 
 def text_frame(df: DataFrame, key: str, text: str, target: str, max_features: int = 5000, folds: int = 3) -> tuple[DataFrame, list[str], int]:

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tabulens.operators import birch
+from tabulens.operators import birch, models, trees
 
 
 def test_features_add_up():
@@ -41,3 +42,84 @@ def test_birch_over_partitions(spark):
         assert all(len(v) == 1 for v in groups.values()) and len(set().union(*groups.values())) == 4
     empty = birch.birch(df.where("false"), ["a", "b"], [2])
     assert empty.collect() == [] and empty.columns[-1] == "clusters"
+
+
+@pytest.fixture(scope="module")
+def rings(spark):
+    """Three classes as rings (no linear boundary), with a constant and a noise feature."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):
+        c, a = i % 3, rng.uniform(0, 2 * np.pi)
+        r = 1 + 2 * c + rng.normal(0, 0.3)
+        rows.append((i, [float(r * np.cos(a)), float(r * np.sin(a)), 7.0, float(rng.normal())], float(c), 1.0, i % 4 == 0))
+    d = spark.createDataFrame(rows, "id long, x array<double>, label double, weight double, test boolean").withColumn("features", array_to_vector("x"))
+    return d.repartition(3).persist()
+
+
+def accuracy(model, d):
+    return model.transform(d).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
+
+
+def test_extra_trees(spark, rings, tmp_path):
+    train, test = rings.where("not test"), rings.where("test")
+    model = trees.ExtraTrees("classification", trees=20, depth=9, min_leaf=2, weightCol="weight").fit(train)
+    assert accuracy(model, test) > 0.9
+    out = model.transform(test).select("id", vector_to_array("probability").alias("p"), "features").collect()
+    assert len(out) == test.count() and all(abs(sum(r["p"]) - 1) < 1e-9 for r in out)
+    share = model.featureImportances.toArray()
+    assert share[2] == 0 and share[0] > share[3] and abs(share.sum() - 1) < 1e-9
+    model.save(spark, str(tmp_path))
+    again = trees.TreeModel.load(spark, str(tmp_path))
+    assert again.transform(test).select("id", "prediction").exceptAll(model.transform(test).select("id", "prediction")).count() == 0
+
+
+def test_extra_trees_split_as_they_say(rings):
+    """Every split leaves min_leaf rows on both sides, thresholds lie inside the node's range, leaf values are the leaf's class shares."""
+    train = rings.where("not test")
+    model = trees.ExtraTrees("classification", trees=3, depth=6, min_leaf=5, weightCol="weight").fit(train)
+    pdf = train.select("x", "label").toPandas()
+    x, y = np.array(pdf.x.tolist()), pdf.label.to_numpy().astype(int)
+    leaf = model.leaves(x)
+    for t, root in enumerate(model.roots):
+        todo = [(root, np.arange(len(x)))]
+        while todo:
+            n, rows = todo.pop()
+            assert len(rows) >= 5
+            if model.feature[n] < 0:
+                assert (leaf[rows, t] == n).all() and np.allclose(model.value[n], np.bincount(y[rows], minlength=3) / len(rows))
+                continue
+            v = x[rows, model.feature[n]]
+            assert v.min() <= model.threshold[n] <= v.max()
+            todo += [(model.left[n], rows[v <= model.threshold[n]]), (model.left[n] + 1, rows[v > model.threshold[n]])]
+
+
+def test_extra_trees_for_numbers(spark):
+    d = spark.range(1200).select("id", ((F.col("id") * 7919 % 1200) / 100.0).alias("a"), ((F.col("id") * 31) % 17).cast("double").alias("b")).withColumn("label", F.sin("a") * 5 + F.col("b"))
+    d = d.withColumn("features", array_to_vector(F.array("a", "b")))
+    model = trees.ExtraTrees("regression", trees=20, depth=12, min_leaf=3).fit(d.where("id % 4 > 0"))
+    got = model.transform(d.where("id % 4 = 0")).agg((1 - F.sum(F.pow(F.col("prediction") - F.col("label"), 2)) / (F.var_samp("label") * (F.count("*") - 1))).alias("r2")).first()[0]
+    assert got > 0.9
+
+
+def test_multinomial_boosting(rings):
+    train, test = rings.where("not test"), rings.where("test")
+    few, more = (trees.MultinomialBoosting(rounds=r, rate=0.3, weightCol="weight").fit(train) for r in (2, 13))
+    assert accuracy(more, test) > 0.88 and accuracy(more, train) >= accuracy(few, train)
+    p = np.array([r["p"] for r in more.transform(test).select(vector_to_array("probability").alias("p")).collect()])
+    assert np.allclose(p.sum(1), 1) and (p > 0).all()
+    assert len(more.roots) == 13 * 3 and more.featureImportances.toArray()[2] == 0
+
+
+def test_first_boosting_step(spark):
+    """One round of stumps without subsampling against the closed form."""
+    y = [0, 0, 0, 1, 1, 2]
+    d = spark.createDataFrame([(float(i), float(c)) for i, c in enumerate(y)], "a double, label double").withColumn("features", array_to_vector(F.array("a")))
+    m = trees.MultinomialBoosting(rounds=1, depth=1, rate=1.0, share=1.0, min_leaf=1).fit(d)
+    p = np.array([3, 2, 1]) / 6
+    for c, root in enumerate(m.roots):
+        r = (np.array(y) == c) - p[c]
+        best = max(range(1, 6), key=lambda s: r[:s].sum() ** 2 / s + r[s:].sum() ** 2 / (6 - s))
+        assert m.feature[root] == 0 and best - 1 <= m.threshold[root] < best
+        for side, rows in ((0, r[:best]), (1, r[best:])):
+            assert m.value[m.left[root] + side][0] == pytest.approx(2 / 3 * rows.sum() / (np.abs(rows) * (1 - np.abs(rows))).sum())
