@@ -149,12 +149,14 @@ def _xgboost(task: str) -> Callable | None:
 
 # --- leaderboard -----------------------------------------------------------------------------
 
-def out_of_fold(frame: DataFrame, build: Callable, key: Sequence[str], folds: int) -> DataFrame:
-    """Predictions for every row by a model that never saw it (pooled over the folds)."""
+def out_of_fold(frame: DataFrame, build: Callable, key: Sequence[str], folds: int, frames: dict[int, DataFrame] | None = None) -> DataFrame:
+    """Predictions for every row by a model that never saw it (pooled over the folds). `frames` has
+    the rows with each fold's own features, where those are fitted too."""
     out = None
     for f in range(folds):
-        model = build().fit(frame.where(F.col("fold") != f))
-        part = model.transform(frame.where(F.col("fold") == f)).select(*key, F.col("label").cast("double").alias("actual"), F.col("prediction").alias("predicted"))
+        own = frame if frames is None else frames[f]
+        model = build().fit(own.where(F.col("fold") != f))
+        part = model.transform(own.where(F.col("fold") == f)).select(*key, F.col("label").cast("double").alias("actual"), F.col("prediction").alias("predicted"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -183,7 +185,8 @@ def rank_regression(board: DataFrame) -> DataFrame:
     return d.withColumn("selected", F.col("rank") == 1)
 
 
-def leaderboard(frame: DataFrame, candidates: dict[str, Callable | None], spec: Spec, folds: int = 3, workers: int = 3) -> DataFrame:
+def leaderboard(frame: DataFrame, candidates: dict[str, Callable | None], spec: Spec, folds: int = 3, workers: int = 3,
+                frames: dict[int, DataFrame] | None = None) -> DataFrame:
     """One row per candidate with pooled out-of-fold metrics; a failing or skipped candidate keeps a failed row."""
     spark = frame.sparkSession
     names = CLS_METRICS if spec.task == "classification" else REG_METRICS
@@ -193,7 +196,7 @@ def leaderboard(frame: DataFrame, candidates: dict[str, Callable | None], spec:
         if build is None:
             return (name, "skipped", "not available", *[None] * len(names))
         try:
-            m = score(out_of_fold(frame, build, spec.key, folds), spec.task)
+            m = score(out_of_fold(frame, build, spec.key, folds, frames), spec.task)
             return (name, "success", "", *[float(m[c]) for c in names])
         except Exception as e:  # noqa: BLE001  a broken candidate must not end the comparison
             return (name, "failed", str(e)[:200], *[None] * len(names))
@@ -354,15 +357,38 @@ def load(path: str, trees: bool = False) -> tuple[PipelineModel, PipelineModel |
     return PipelineModel.load(f"{path}/features"), TreeModel.load(SparkSession.getActiveSession(), f"{path}/trees") if trees else PipelineModel.load(f"{path}/model")
 
 
-def text_frame(df: DataFrame, key: str, text: str, target: str, max_features: int = 5000, folds: int = 3) -> tuple[DataFrame, list[str], int]:
-    """Unit-length TF-IDF vectors with label, weight, part and fold; equal texts stay in one part.
+@dataclass
+class TextData:
+    """Vectors of texts: all rows with what the training part taught, and its rows with each fold's own vocabulary."""
+
+    frame: DataFrame
+    frames: dict[int, DataFrame]
+    labels: list[str]
+    folds: int
+    fitted: tuple[list[tuple[str, int]], int]
+
 
-    """
+def text_vectors(d: DataFrame, key: str, text: str, fitted: tuple, *keep: str) -> DataFrame:
+    """Unit-length TF-IDF vectors; a text without a known term has an empty one."""
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql.types import StructField, StructType
 
+    from .vectorize import sparse_rows, tfidf
+
+    size = len(fitted[0])
+    # a sparse vector is a struct of (type 0, size, positions, values), read back from JSON in the JVM
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    raw = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), empty(F.col("j"), "int").alias("indices"), empty(F.col("x"), "double").alias("values"))
+    vector = F.from_json(F.to_json(F.struct(raw.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
+    rows = sparse_rows(tfidf(d, key, text, size, lower=False, fitted=fitted), key)
+    return d.select(key, *keep).join(rows, key, "left").select(key, *keep, vector.alias("features"))
+
+
+def text_frame(df: DataFrame, key: str, text: str, target: str, max_features: int = 5000, folds: int = 3) -> TextData:
+    """Labelled vectors with weight, part and fold. Equal texts stay in one part and fold; a fold's vocabulary and
+    document counts come from the other folds only."""
     from .sampling import choose_split, holdout
-    from .vectorize import fit_vocabulary, sparse_rows, tfidf
+    from .vectorize import fold_vocabularies
 
     one = df.agg(F.count("*").alias("n"), F.count_distinct(text).alias("u")).first()
     sizes = class_sizes(df, target)
@@ -372,16 +398,24 @@ def text_frame(df: DataFrame, key: str, text: str, target: str, max_features: in
     d = d.withColumn("label", (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(target).cast("string")) - 1).cast("double"))
     d = add_class_weights(d, target, {c: sizes[c] for c in labels})
     d = holdout(d, [key], how, label="label", group=text)
-    by = [text] if how == "group" else [key]
-    d = d.withColumn("fold", F.floor(hash_unit(by, 7) * folds).cast("long"))
-    fitted = fit_vocabulary(d.where("part = 'train'"), text, max_features, 2 if how == "group" else 1, 0.95, lower=False)
-    size = len(fitted[0])
-    # a sparse vector is a struct of (type 0, size, positions, values), read back from JSON in the JVM
-    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
-    raw = F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), empty(F.col("j"), "int").alias("indices"), empty(F.col("x"), "double").alias("values"))
-    vector = F.from_json(F.to_json(F.struct(raw.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
-    rows = sparse_rows(tfidf(d, key, text, max_features, lower=False, fitted=fitted), key)
-    frame = d.select(key, "label", "weight", "part", "fold").join(rows, key, "left").select(
-        key, "label", "weight", "part", "fold", vector.alias("features"))
-    frame = few_splits(frame, one["n"]).persist()
-    return frame, labels, folds
+    d = d.withColumn("fold", F.floor(hash_unit([text], 7) * folds).cast("long")).persist()
+    train = d.where("part = 'train'")
+    fitted = fold_vocabularies(train, text, "fold", folds, max_features, 2 if how == "group" else 1, 0.95, lower=False)
+    keep = ["label", "weight", "part", "fold"]
+    vectors = lambda rows, f: few_splits(text_vectors(rows, key, text, fitted[f], *keep), one["n"]).persist()
+    return TextData(vectors(d, None), {f: vectors(train, f) for f in range(folds)}, labels, folds, fitted[None])
+
+
+def text_final(data: TextData, spec: Spec, name: str):
+    """Model on the whole training part, its test predictions and test metrics (one row)."""
+    train, test = data.frame.where("part = 'train'"), data.frame.where("part = 'test'")
+    model = text_candidates(len(data.labels), train.count())[name]().fit(train)
+    names = F.array(*[F.lit(x) for x in data.labels])
+    pred = model.transform(test).select(*spec.key, *[F.get(names, F.col(c).cast("int")).alias(a) for c, a in (("label", "actual"), ("prediction", "predicted"))])
+    return model, pred, ev.classification_metrics(ev.class_report(ev.pair_counts(pred, "actual", "predicted")))
+
+
+def score_texts(data: TextData, model, df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, prediction) for new texts, with the vocabulary of the training part."""
+    names = F.array(*[F.lit(x) for x in data.labels])
+    return model.transform(text_vectors(df, key, text, data.fitted)).select(key, F.get(names, F.col("prediction").cast("int")).alias("prediction"))

@@ -55,8 +55,9 @@ def _(t):
 def _(t):
     d = t.documents.join(t.labels, "doc_id").select("doc_id", "quality", X.normalize_english(F.col("text")).alias("text"))
     spec = models.Spec("quality", "classification", ["doc_id"])
-    frame, labels, folds = models.text_frame(d, "doc_id", "text", "quality")
-    return models.leaderboard(frame.where("part = 'train'"), models.text_candidates(len(labels), frame.count()), spec, folds)
+    data = models.text_frame(d, "doc_id", "text", "quality")
+    train = data.frame.where("part = 'train'")
+    return models.leaderboard(train, models.text_candidates(len(data.labels), train.count()), spec, data.folds, frames=data.frames)
 
 
 def fitted(t, spec, table, name):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tabulens.operators import birch, models, trees
+from tabulens.operators import birch, models, trees, vectorize
 
 
 def test_features_add_up():
@@ -123,3 +123,43 @@ def test_first_boosting_step(spark):
         assert m.feature[root] == 0 and best - 1 <= m.threshold[root] < best
         for side, rows in ((0, r[:best]), (1, r[best:])):
             assert m.value[m.left[root] + side][0] == pytest.approx(2 / 3 * rows.sum() / (np.abs(rows) * (1 - np.abs(rows))).sum())
+
+
+def test_fold_vocabularies(spark):
+    """Counts by subtraction equal counts of the other folds' rows; a term that only a held-out fold has is unknown to it."""
+    words = "alpha beta gamma delta omega kappa".split()
+    rows = [(i, " ".join(words[(i * k) % 6] for k in range(1, 5)) + (" leak" if i % 3 == 1 else "") + f" only{i}", i % 3) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, text string, fold long")
+    got = vectorize.fold_vocabularies(d, "text", "fold", 3, 40, 2, 0.95)
+    for f in (None, 0, 1, 2):
+        rest = d if f is None else d.where(F.col("fold") != f)
+        assert got[f] == vectorize.fit_vocabulary(rest, "text", 40, 2, 0.95)
+    assert "leak" not in dict(got[1][0]) and dict(got[0][0])["leak"] == 20
+
+
+def test_leak_gains_nothing(spark):
+    """Random labels: terms that only a held-out row has, whatever they say, leave pooled scores at chance."""
+    rng = np.random.default_rng(3)
+    labels = [int(rng.integers(2)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green", "grey", "pink", "black"], 12)) + f" label{y}of{i}", y) for i, y in enumerate(labels)]
+    d = spark.createDataFrame(rows, "id long, text string, y int")
+    data = models.text_frame(d, "id", "text", "y")
+    spec = models.Spec("y", "classification", ["id"])
+    board = models.leaderboard(data.frame.where("part = 'train'"), models.text_candidates(2, 240), spec, data.folds, frames=data.frames).collect()
+    assert all(r["status"] == "success" and r["f1_macro"] < 0.65 for r in board)
+    model, pred, metrics = models.text_final(data, spec, "MultinomialNB")
+    assert pred.count() == data.frame.where("part = 'test'").count() and metrics.count() == 1
+    new = models.score_texts(data, model, spark.createDataFrame([(1, "red blue"), (2, None), (3, "unseen")], "id long, text string"), "id", "text").collect()
+    assert len(new) == 3 and all(r["prediction"] in ("0", "1") for r in new)
+
+
+def test_directions_against_a_dense_solution(spark):
+    rng = np.random.default_rng(4)
+    x = (rng.random((120, 70)) < 0.1) * rng.random((120, 70)) + np.outer(rng.random(120) < 0.3, rng.random(70))
+    rows = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)], "id long, j array<int>, x array<double>").repartition(4)
+    comp, squares = vectorize.principal_directions(rows, 70, 5)
+    u, s, v = np.linalg.svd(x)
+    assert np.allclose(comp.T @ comp, np.eye(5), atol=1e-9) and np.allclose(squares, s[:5] ** 2, rtol=1e-6)
+    assert np.allclose(np.abs((comp * v[:5].T).sum(0)), 1, atol=1e-3)
+    whole, all_squares = vectorize.principal_directions(rows, 70, 70)
+    assert np.allclose(all_squares, s ** 2, atol=1e-8)
