@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import band, clamp01
 
-MAX_LABELS = 2_000
+MAX_LABELS = 2_000  # labels of which all pairs are shown
 
 
 def pair_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -21,12 +21,15 @@ def pair_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
-def confusion_matrix(pairs: DataFrame) -> DataFrame:
-    """Counts on the full label grid, zero cells included."""
-    labels = pairs.agg(F.sort_array(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("l"))
-    grid = (labels.select("l", F.explode("l").alias("actual")).select("actual", F.explode("l").alias("predicted")))
-    return grid.join(pairs, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+def confusion_matrix(pairs: DataFrame, most: int = MAX_LABELS) -> DataFrame:
+    """Counts on the full label grid, zero cells included; with more than `most` labels the observed cells only."""
+    labels = pairs.select(F.explode(F.array("actual", "predicted")).alias("x")).where("x is not null").distinct()
+    seen = pairs.select("actual", "predicted", F.col("n").cast("long").alias("n"))
+    if labels.limit(most + 1).count() > most:
+        return seen
+    whole = labels.agg(F.sort_array(F.collect_list("x")).alias("l"))  # at most `most` labels
+    grid = whole.select("l", F.explode("l").alias("actual")).select("actual", F.explode("l").alias("predicted"))
+    return grid.join(seen, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def class_report(pairs: DataFrame) -> DataFrame:

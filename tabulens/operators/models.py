@@ -54,11 +54,15 @@ def class_sizes(df: DataFrame, label: str) -> dict:
 
 
 def add_class_weights(df: DataFrame, label: str, sizes: dict | None = None) -> DataFrame:
-    """Balanced weights n / (k n_c) from the class counts (at most a thousand classes)."""
-    sizes = class_sizes(df, label) if sizes is None else sizes
-    n, k = sum(sizes.values()), len(sizes)
-    table = F.create_map(*[x for c, m in sizes.items() for x in (F.lit(c), F.lit(n / (k * m)))])
-    return df.withColumn("weight", F.element_at(table, F.col(label).cast("string")))
+    """Balanced weights n / (k n_c), from a table of class counts that is joined; null without a class."""
+    name = F.col(label).cast("string")
+    if sizes is None:
+        table = df.where(F.col(label).isNotNull()).groupBy(name.alias("_class")).agg(F.count("*").alias("_n"))
+    else:
+        table = df.sparkSession.createDataFrame(list(sizes.items()), "_class string, _n long")
+    whole = table.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))  # one row
+    table = table.join(F.broadcast(whole), F.lit(True)).select("_class", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
+    return df.join(table, name == F.col("_class"), "left").drop("_class")
 
 
 # --- features --------------------------------------------------------------------------------

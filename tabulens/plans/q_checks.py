@@ -120,7 +120,7 @@ def _(t):
     return models.leaderboard(p.train, cands, PRICE, p.folds).select("model_name", floor.alias("floor"), F.coalesce(F.col("r2") >= floor, F.lit(False)).alias("reached"))
 
 
-SIX = models.Spec("kind", "classification", ["c_custkey"], ["x", "y", "noise"], trees=20, depth=8, rounds=8)
+SIX = models.Spec("kind", "classification", ["c_custkey"], ["x", "y", "noise"], trees=10, depth=6, rounds=4)
 
 
 def six_classes(t):

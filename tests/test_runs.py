@@ -75,3 +75,11 @@ def test_places(spark):
     got = ordered_places(d.repartition(5), [F.col("k").desc()]).collect()
     assert sorted((r["k"], r["place"]) for r in got) == [(k, 1000 - k) for k in range(1000)]
     assert ordered_places(d.where("false"), ["k"]).collect() == []
+
+
+def test_confusion_of_many_labels(spark):
+    pairs = spark.createDataFrame([(f"a{i}", f"a{(i * 7) % 9}", i) for i in range(9)], "actual string, predicted string, n long")
+    from tabulens.operators.evaluate import confusion_matrix
+
+    assert confusion_matrix(pairs).count() == 81 and confusion_matrix(pairs, 5).count() == 9
+    assert confusion_matrix(pairs).agg(F.sum("n")).first()[0] == 36
