@@ -25,7 +25,7 @@ from ..session import cut_lineage
 SAMPLE = 8000  # different vectors that are learned from, about
 PER_PART = 125  # sample vectors per part
 NEIGHBOURS = 10  # of a sample vector in the graph
-BLOCK = 4096  # entries of a part that one group holds
+BLOCK = 4096  # entries of a part that one group holds, and queries
 RECALL = 0.97  # wanted on the held-out share of the sample
 SALTS = 64
 
@@ -118,6 +118,12 @@ class Router:
     def parts(self, x: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :n]
 
+    def visits(self, x: np.ndarray, held: np.ndarray, least: int) -> list[list[int]]:
+        """The most probable parts: as many as were learned, and more until they hold `least` ids (of `held` by part)."""
+        order = self.parts(x, len(held))
+        enough = (held[order].cumsum(1) < least).sum(1) + 1
+        return [o[:max(self.probes, e)].tolist() for o, e in zip(order, enough)]
+
 
 def _train(x: np.ndarray, target: np.ndarray, seed: int, hidden: int = 128, epochs: int = 40, batch: int = 256, rate: float = 0.003) -> Router:
     """Two-layer classifier with cross entropy to the shares of neighbours in every part."""
@@ -174,8 +180,8 @@ def learn(sample: np.ndarray, k: int, recall: float = RECALL, seed: int = 11) ->
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, id, score): every query's k nearest rows of `vectors` found, its own id left
     out, by Euclidean distance in double precision; ties go to the smaller id. All candidates if
-    there are fewer than k in the visited parts; queries are rows like those of `vectors`, and
-    repeated rows count once. Without sound vectors the result is empty."""
+    there are fewer than k; queries are rows like those of `vectors`, and repeated rows count once.
+    Without sound vectors the result is empty."""
     index = entries(vectors, id_col, vec_col, k)
     share = int(1_000_003 * min(1.0, sample / max(index.count(), 1))) + 1
     picked = index.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < share).select("key", "vec").toArrow()
@@ -199,9 +205,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     blocks = homes.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     stored = homes.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("part", "block", "key", "vec", "ids")
     different = index.join(asked.select("key").distinct(), "key")
-    probes = router.probes if router else 1
-    visits = different.mapInArrow(route(probes), shape).select("key", "vec", F.explode("parts").alias("part"))
-    visits = visits.join(F.broadcast(blocks), "part").select(F.col("part").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"), F.col("key").alias("q_key"), F.col("vec").alias("q_vec"))
+    parts = len(router.b2) if router else 1
+    held = np.zeros(parts, np.int64)
+    for r in homes.groupBy("part").agg(F.sum(F.size("ids")).alias("n")).collect():  # one row per part
+        held[r["part"]] = r["n"]
+
+    def visit(batches):
+        r = sent.value
+        for b in batches:
+            x = np.array(b.column("vec").to_pylist(), np.float64).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r.visits(x, held, k + 1) if b.num_rows else [], pa.list_(pa.int32()))], names=[*b.schema.names, "parts"])
+
+    visits = cut_lineage(different.mapInArrow(visit, shape).select("key", "vec", F.explode("parts").alias("part")))
+    # a group holds a block of a part's entries and a block of its queries
+    rounds = visits.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rounds"))
+    stored = stored.join(F.broadcast(rounds), "part").select("part", "block", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("round"), "key", "vec", "ids")
+    visits = visits.join(F.broadcast(blocks), "part").join(F.broadcast(rounds), "part").select(
+        F.col("part").alias("q_part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"), F.pmod(F.xxhash64("key"), F.col("rounds")).cast("int").alias("q_round"), F.col("key").alias("q_key"), F.col("vec").alias("q_vec"))
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
         names = {"key": pa.string(), "score": pa.float64(), "ids": pa.list_(pa.int64())}
@@ -226,7 +246,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
                     out[2].append(ids[near[o]])
         return pa.table({n: pa.array(v, t) for (n, t), v in zip(names.items(), out)})
 
-    met = visits.groupBy("q_part", "q_block").cogroup(stored.groupBy("part", "block")).applyInArrow(search, "key string, score double, ids array<bigint>")
+    met = visits.groupBy("q_part", "q_block", "q_round").cogroup(stored.groupBy("part", "block", "round")).applyInArrow(search, "key string, score double, ids array<bigint>")
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("score", F.get("ids", F.lit(0))))).where(F.col("r") <= k + 1)
     found = cut_lineage(best.select("key", "score", F.explode("ids").alias("id")))
     out = asked.join(found, "key").where("id <> query_id")

@@ -293,6 +293,18 @@ def test_recall(spark):
     assert found >= 0.9 * 10 * len(got) and len(got) == (ids % 100 == 0).sum()
 
 
+def test_visits_hold_enough(spark, monkeypatch):
+    """Tight far-apart groups, parts nearly empty: every query still gets k rows, with query blocks of a few rows."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 0.01, (n, 6)) for c, n in ((0, 700), (50, 6), (100, 5), (150, 4), (200, 285))])
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    got = ann.nearest(rows, rows.where("vec_id % 3 = 0 or vec_id between 700 and 715"), k=10).toPandas()
+    assert (got.groupby("query_id").size() == 10).all() and got.query_id.nunique() == 345
+    r = ann.Router(np.eye(2), np.zeros(2), np.eye(2), np.zeros(2), np.zeros(2), 1.0, probes=1)
+    assert r.visits(np.array([[3.0, 1.0], [1.0, 3.0]]), np.array([2, 50]), 11) == [[0, 1], [1]]
+
+
 def test_vectors_awkward(spark):
     rows = [(k, [1.0, 2.0]) for k in range(300)] + [(1000, None), (1001, [0.0, 0.0]), (1002, [1.0, None]), (1003, [float("nan"), 1.0]), (1004, [float("inf"), 1.0]), (1005, [1.0, 2.0, 3.0]), (1006, [4.0, 6.0]), (1006, [4.0, 6.0]), (None, [1.0, 2.0]), (1007, [])]
     d = spark.createDataFrame([(*r, "k") for r in rows], "vec_id long, embedding array<float>, key string")
