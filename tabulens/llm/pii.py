@@ -11,6 +11,7 @@ kind's minimum are added where they touch no base span.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -199,10 +200,24 @@ def tag(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
+def apart(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Begin and end of the disjoint stretches that spans cover, in order."""
+    begin: list[int] = []
+    end: list[int] = []
+    for _, a, z in sorted(spans, key=lambda x: x[1]):
+        if end and a < end[-1]:
+            end[-1] = max(end[-1], z)
+        else:
+            begin.append(a)
+            end.append(z)
+    return begin, end
+
+
 def find(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, base, spans): arrays of (kind, start, stop) in code points, by kind, then start.
 
-    Null texts count as empty and give empty arrays; other columns are not read. Spans of the
+    Null texts count as empty and give empty arrays; null ids stay null; other columns are not read; an
+    empty table gives no rows. Spans of the
     tagger join those of the patterns where they overlap none; among themselves the first wins.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -221,11 +236,13 @@ def find(docs: DataFrame, model: Tagger | None, id_col: str = "doc_id", text_col
                 full = [list(b) for b in base]
                 if m is not None:
                     for rows, more in zip(full, tag(m, texts)):
-                        taken = sorted((a, z) for _, a, z in rows)
+                        begin, end = apart(rows)
                         for k, a, z in sorted(more, key=lambda x: x[1]):
-                            if not any(a < y and x < z for x, y in taken):
+                            i = bisect.bisect_left(begin, z)
+                            if not i or end[i - 1] <= a:
                                 rows.append((k, a, z))
-                                taken.append((a, z))
+                                begin.insert(i, a)
+                                end.insert(i, z)
                         rows.sort()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([named(b) for b in base], span), pa.array([named(f) for f in full], span)], names=["id", "base", "spans"])
 

@@ -388,6 +388,15 @@ def test_pii_long_stretches(monkeypatch):
         assert want and pii.tag(model, ["7" * 40, text, "no", text[:500]])[1] == want
 
 
+def test_stretches_apart():
+    draw = random.Random(8)
+    for _ in range(300):
+        spans = [(0, a, a + draw.randint(1, 6)) for a in (draw.randint(0, 60) for _ in range(draw.randint(0, 12)))]
+        begin, end = pii.apart(spans)
+        covered = {x for _, a, z in spans for x in range(a, z)}
+        assert {x for a, z in zip(begin, end) for x in range(a, z)} == covered and all(z <= a for z, a in zip(end, begin[1:]))
+
+
 def test_pii_documents(spark, awkward, nothing):
     docs = spark.read.parquet(SMALL.replace("0.001", "0.01") + "/documents.parquet")
     model = pii.fit(docs, F.col("doc_id"))
