@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import correlation_p, ks_p
 from ..functions.scalars import pct_change
+from ..session import cut_lineage
 from .quantiles import order_boundary, split_ends
 from .ranks import ONE_TASK_ROWS, ordered_places, running_totals, spearman
 
@@ -53,7 +54,7 @@ def row_positions(df: DataFrame, keys: Sequence[str], rows: int, one_task: int =
     """Add `position` (from 0) in the order of unique keys: one window for small tables, else
     numbered ranges (see ranks.ordered_places)."""
     if rows <= one_task:
-        return df.withColumn("position", F.row_number().over(W.orderBy(*keys)).cast("long") - 1)
+        return cut_lineage(df.withColumn("position", F.row_number().over(W.orderBy(*keys)).cast("long") - 1))  # read several times
     return ordered_places(df, keys, "position").withColumn("position", F.col("position") - 1)
 
 
@@ -63,14 +64,11 @@ def trends(df: DataFrame, features: Sequence[str], order_by: Sequence[str], targ
     n = df.count()
     cols = [f for f in features if f not in order_by]
     placed = row_positions(df.select(*order_by, *cols), order_by, n, one_task)
-    rho = spearman(placed, [("position", f) for f in features], n, one_task)
+    rho = spearman(placed, [("position", f) for f in features], n, one_task, places=["position"])
     window = max(int(n * fraction), 10)
-    items = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]
-    ends = df
-    early = order_boundary(df, order_by, min(window, n))
-    not_late = order_boundary(df, order_by, max(n - window, 0))
-    means = (ends.select(early.alias("_e"), (~not_late).alias("_l"), F.inline(F.array(*items))).groupBy("feature")
-             .agg(F.avg(F.when(F.col("_e"), F.col("v"))).alias("em"), F.avg(F.when(F.col("_l"), F.col("v"))).alias("lm")))
+    early, late = F.col("position") < window, F.col("position") >= n - window
+    means = placed.agg(*[F.avg(F.when(w, F.col(f).cast("double"))).alias(f"{k}{i}") for i, f in enumerate(features) for k, w in (("e", early), ("l", late))])
+    means = means.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"e{i}").alias("em"), F.col(f"l{i}").alias("lm")) for i, f in enumerate(features)])))
     d = rho.withColumnRenamed("feature_b", "feature").join(F.broadcast(means), "feature")  # one row per feature
     p = correlation_p(F.col("spearman_r"), F.col("n").cast("double"))
     return d.select(

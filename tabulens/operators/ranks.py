@@ -92,8 +92,9 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None = None, one_task: int = ONE_TASK_ROWS,
-             floor: int = 1_000_000, spread_values: int = SPREAD_VALUES) -> DataFrame:
-    """(feature_a, feature_b, n, spearman_r) over pairwise complete rows.
+             floor: int = 1_000_000, spread_values: int = SPREAD_VALUES, places: Sequence[str] = ()) -> DataFrame:
+    """(feature_a, feature_b, n, spearman_r) over pairwise complete rows. Columns in `places` number
+    all rows from 0: they are ranks already, unless the partner has NULLs.
 
     A column is ranked once for all pairs; only where a partner has NULLs in other rows is it
     ranked again among the rows both have. All ranks come from one table of value counts. Ranks of
@@ -113,7 +114,9 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None =
         sides.append([jobs.setdefault((c, None if full[at[c]] == full[f"p{i}"] else o), len(jobs)) for c, o in ((a, b), (b, a))])
     value = {j: F.col(at[c]) if o is None else F.when(F.col(at[o]).isNotNull(), F.col(at[c])) for (c, o), j in jobs.items()}
     items = lambda which: F.array(*[F.struct(F.lit(j).alias("job"), value[j].alias("v")) for j in which])
-    freq = plain.select(F.inline(items(jobs.values()))).where("v is not null").groupBy("job", "v").agg(F.count("*").alias("c"))
+    known = [j for (c, o), j in jobs.items() if c in places and o is None]
+    known = known if len(known) < len(jobs) else []
+    freq = plain.select(F.inline(items(j for j in jobs.values() if j not in known))).where("v is not null").groupBy("job", "v").agg(F.count("*").alias("c"))
     ranks = running_totals(freq, "job", "v", ["c"], rows, one_task).select("job", "v", F.col("c").alias("w"), (F.col("c_upto") - (F.col("c") - 1) / 2.0).alias("r"))
     ranks = cut_lineage(ranks)
     size = {r["job"]: r["n"] for r in ranks.groupBy("job").agg(F.count("*").alias("n")).collect()}  # one row per ranked column
@@ -123,10 +126,11 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None =
             few.append(j)
             room -= size[j]
     many = [j for j in size if j not in few]
-    wide = plain
+    wide = plain.withColumns({f"r{j}": value[j] + 1 for j in known})
     for j in few:
         mine = ranks.where(F.col("job") == j).select(F.col("v").alias(f"v{j}"), F.col("r").alias(f"r{j}"))
         wide = wide.join(F.broadcast(mine), value[j] == F.col(f"v{j}"), "left").drop(f"v{j}")
+    few += known
     if many:
         wide = cut_lineage(wide.withColumn("_row", F.monotonically_increasing_id()))
         long = wide.select("_row", F.inline(items(many))).where("v is not null")
@@ -136,7 +140,7 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None =
         wide = placed.groupBy("_row").agg(*[F.max(F.when(F.col("job") == j, F.col("r"))).alias(f"r{j}") for j in many], *[F.max(f"r{j}").alias(f"r{j}") for j in few])
     sums = []
     for i, (x, y) in enumerate(sides):
-        if x not in size or y not in size:
+        if any(j not in size and j not in known for j in (x, y)):
             sums += [F.lit(None).cast("double").alias(f"{k}{i}") for k in ("xy", "xx", "yy")]
             continue
         mid = (full[f"p{i}"] + 1) / 2.0

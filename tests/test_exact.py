@@ -66,6 +66,19 @@ def test_spearman_with_hot_value(skewed):
         assert got["n"] == 6000
 
 
+def test_trends_over_given_places(spark, skewed):
+    d = skewed.withColumn("z", F.when(F.col("id") % 7 != 0, F.col("y") * 2 + F.col("id")))  # NULLs: places are ranked again
+    pdf = d.toPandas().sort_values(["x", "id"]).reset_index(drop=True)
+    for one_task in (100, 10_000):
+        got = {r.feature: r for r in drift.trends(d.repartition(5), ["x", "y", "z"], ["x", "id"], one_task=one_task).collect()}
+        for f in ("x", "y", "z"):
+            some = pdf[pdf[f].notna()]
+            assert got[f].n == len(some)
+            assert got[f].spearman_r == pytest.approx(some.index.to_series().rank().corr(some[f].rank()), abs=1e-4)
+            assert got[f].early_mean == pytest.approx(pdf[f].head(1200).mean(), abs=1e-4)
+            assert got[f].late_mean == pytest.approx(pdf[f].tail(1200).mean(), abs=1e-4)
+
+
 def test_row_positions_and_drift_paths(spark, skewed):
     d = skewed.repartition(5)
     got = drift.row_positions(d, ["x", "id"], 6000, one_task=100).toPandas().sort_values(["x", "id"])
