@@ -36,7 +36,7 @@ def drift(df: DataFrame, features: Sequence[str], order_by: Sequence[str], fract
           one_task: int = ONE_TASK_ROWS) -> DataFrame:
     """One row per feature with statistic, shift and whether it counts as drift."""
     n = df.count()
-    sides = split_ends(df.select(*order_by, *[f for f in features if f not in order_by]), order_by, fraction)
+    sides = split_ends(df.select(*order_by, *[f for f in features if f not in order_by]), order_by, fraction, rows=n)
     d = two_sample(sides, features, n, one_task)
     shift = F.col("ml") - F.col("me")
     norm = F.abs(shift) / F.when(F.coalesce("sd", F.lit(0.0)) == 0, 1.0).otherwise(F.col("sd"))

@@ -32,14 +32,16 @@ def orderable(df: DataFrame, col: str) -> Column:
     return F.col(col)
 
 
-def select_ranks(df: DataFrame, wanted: dict[str, tuple[str, int]], settle: int = SETTLE, accuracy: int = ACCURACY) -> dict[str, tuple]:
-    """Request -> (column, rank from 0 among its non-null values) to request -> (value, rows below it, rows equal to it)."""
+def select_ranks(df: DataFrame, wanted: dict[str, tuple[str, int]], settle: int = SETTLE, accuracy: int = ACCURACY, rows: dict[str, int] | None = None) -> dict[str, tuple]:
+    """Request -> (column, rank from 0 among its non-null values) to request -> (value, rows below it, rows equal to it).
+
+    `rows` are the columns' numbers of non-null values, where they are known already."""
     out: dict[str, tuple] = {}
     if not wanted:
         return out
     # open bracket, rows below it and in it
-    cols = sorted({c for c, _ in wanted.values()})
-    rows = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    if rows is None:
+        rows = df.agg(*[F.count(c).alias(c) for c in sorted({c for c, _ in wanted.values()})]).first()
     left = {r: (c, k, None, None, 0, rows[c]) for r, (c, k) in wanted.items()}
 
     def inside(c, lo, hi):
@@ -120,34 +122,43 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return out
 
 
-def order_boundary(df: DataFrame, keys: Sequence[str], position: int) -> Column:
-    """Condition that holds for exactly the first `position` rows in the order of `keys`.
+def order_boundaries(df: DataFrame, keys: Sequence[str], positions: Sequence[int], rows: int | None = None) -> list[Column]:
+    """Conditions that hold for exactly the first `position` rows in the order of `keys`, one per position.
 
-    Ties on one key are broken by the next; the keys together must be unique and non-null.
+    Ties on one key are broken by the next; the keys together must be unique and non-null. All
+    positions share their passes. `rows` is the number of rows, where it is known already.
     """
-    flat = df.select(*[orderable(df, k).alias(k) for k in keys])
-    cond, prefix, left = F.lit(False), F.lit(True), position
-    n = flat.count()
+    n = [df.count() if rows is None else rows] * len(positions)
+    cond, prefix, left = [F.lit(False) for _ in positions], [F.lit(True) for _ in positions], list(positions)
+    going = [i for i, p in enumerate(positions) if 0 < p < n[i]]
     for k in keys:
-        if left <= 0:
-            return cond
-        if left >= n:
-            return cond | prefix
-        value, below, n = select_ranks(flat, {"r": (k, left - 1)})["r"]
+        if not going:
+            break
         here = orderable(df, k)
-        cond = cond | (prefix & (here < F.lit(value)))
-        prefix = prefix & (here == F.lit(value))
-        left -= below
-        flat = flat.where(F.col(k) == F.lit(value))
-    return cond | prefix if left >= n else cond
+        some = F.lit(False)
+        for i in going:
+            some = some | prefix[i]
+        flat = df.where(some).select(*[F.when(prefix[i], here).alias(f"k{i}") for i in going])
+        got = select_ranks(flat, {f"k{i}": (f"k{i}", left[i] - 1) for i in going}, rows={f"k{i}": n[i] for i in going})
+        for i in going:
+            value, below, n[i] = got[f"k{i}"]
+            cond[i] = cond[i] | (prefix[i] & (here < F.lit(value)))
+            prefix[i] = prefix[i] & (here == F.lit(value))
+            left[i] -= below
+        going = [i for i in going if left[i] < n[i]]
+    return [c | p if m >= r else c for c, p, m, r in zip(cond, prefix, left, n)]
+
+
+def order_boundary(df: DataFrame, keys: Sequence[str], position: int) -> Column:
+    """The condition of one position (see `order_boundaries`)."""
+    return order_boundaries(df, keys, [position])[0]
 
 
-def split_ends(df: DataFrame, order_by: Sequence[str], fraction: float = 0.20, least: int = 10) -> DataFrame:
+def split_ends(df: DataFrame, order_by: Sequence[str], fraction: float = 0.20, least: int = 10, rows: int | None = None) -> DataFrame:
     """First and last `fraction` of the ordered rows, marked early / late in column `side`."""
-    n = df.count()
+    n = df.count() if rows is None else rows
     window = max(int(n * fraction), least)
-    early = order_boundary(df, order_by, min(window, n))
-    not_late = order_boundary(df, order_by, max(n - window, 0))
+    early, not_late = order_boundaries(df, order_by, [min(window, n), max(n - window, 0)], n)
     sides = F.concat(F.when(early, F.array(F.lit("early"))).otherwise(F.array().cast("array<string>")),
                      F.when(~not_late, F.array(F.lit("late"))).otherwise(F.array().cast("array<string>")))
     return df.withColumn("side", F.explode(sides))

@@ -118,7 +118,8 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None =
     known = known if len(known) < len(jobs) else []
     freq = plain.select(F.inline(items(j for j in jobs.values() if j not in known))).where("v is not null").groupBy("job", "v").agg(F.count("*").alias("c"))
     ranks = running_totals(freq, "job", "v", ["c"], rows, one_task).select("job", "v", F.col("c").alias("w"), (F.col("c_upto") - (F.col("c") - 1) / 2.0).alias("r"))
-    ranks = cut_lineage(ranks)
+    if rows <= one_task:  # beyond that the sorted ranges are stored already
+        ranks = cut_lineage(ranks)
     size = {r["job"]: r["n"] for r in ranks.groupBy("job").agg(F.count("*").alias("n")).collect()}  # one row per ranked column
     few, room = [], spread_values
     for j in sorted(size, key=size.get):
@@ -132,7 +133,7 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None =
         wide = wide.join(F.broadcast(mine), value[j] == F.col(f"v{j}"), "left").drop(f"v{j}")
     few += known
     if many:
-        wide = cut_lineage(wide.withColumn("_row", F.monotonically_increasing_id()))
+        wide = cut_lineage(wide.select(*sorted({at[c] for job, j in jobs.items() if j in many for c in job if c}), *[f"r{j}" for j in few], F.monotonically_increasing_id().alias("_row")))
         long = wide.select("_row", F.inline(items(many))).where("v is not null")
         placed = lookup(long, ranks, ["job", "v"], "w", rows, floor)
         if few:

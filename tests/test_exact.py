@@ -57,6 +57,15 @@ def test_order_boundary(skewed, position):
     assert got == set(pdf.id.head(position))
 
 
+def test_order_boundaries_share_passes(skewed):
+    positions = [-3, 0, 7, 2500, 2501, 5999, 6000, 9000]
+    pdf = skewed.toPandas().sort_values(["x", "id"])
+    conds = quantiles.order_boundaries(skewed, ["x", "id"], positions)
+    rows = skewed.select("id", *[c.alias(f"c{i}") for i, c in enumerate(conds)]).toPandas()
+    for i, p in enumerate(positions):
+        assert set(rows.id[rows[f"c{i}"]]) == set(pdf.id.head(max(p, 0))), p
+
+
 def test_spearman_with_hot_value(skewed):
     pdf = skewed.toPandas()
     want = pdf.x.rank().corr(pdf.y.rank())
