@@ -118,8 +118,7 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None =
     known = known if len(known) < len(jobs) else []
     freq = plain.select(F.inline(items(j for j in jobs.values() if j not in known))).where("v is not null").groupBy("job", "v").agg(F.count("*").alias("c"))
     ranks = running_totals(freq, "job", "v", ["c"], rows, one_task).select("job", "v", F.col("c").alias("w"), (F.col("c_upto") - (F.col("c") - 1) / 2.0).alias("r"))
-    if rows <= one_task:  # beyond that the sorted ranges are stored already
-        ranks = cut_lineage(ranks)
+    ranks = cut_lineage(ranks)  # read once per column; without this every reading would add up the ranges again
     size = {r["job"]: r["n"] for r in ranks.groupBy("job").agg(F.count("*").alias("n")).collect()}  # one row per ranked column
     few, room = [], spread_values
     for j in sorted(size, key=size.get):
