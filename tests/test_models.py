@@ -23,6 +23,21 @@ def test_features_add_up():
     assert tree.threshold > 0.3
 
 
+def test_birch_merges_many_trees(spark):
+    """More trees than feed one of the next level, as tables that stay spread over many tasks have them."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(float(c * 4 + rng.normal(0, 0.2)), float(rng.normal(0, 0.2))) for c in (np.arange(900) % 3).tolist()], "a double, b double")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        n, centers = birch.features_of(df, ["a", "b"])
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert n.sum() == 900 and sorted(set(np.round(centers[:, 0] / 4).astype(int).tolist())) == [0, 1, 2]
+
+
 def test_birch_over_partitions(spark):
     """Groups come out whole however the rows are spread; a third of the rows are one point; nulls have no cluster."""
     rng = np.random.default_rng(2)
