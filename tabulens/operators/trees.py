@@ -23,6 +23,7 @@ from ..session import cut_lineage
 
 ROOM = 20_000_000  # numbers that a task holds for the open nodes of the trees it grows together
 BINS = 32
+BLOCK = 65_536  # numbers that travel as one value
 MATERIAL = 10  # rounds after which boosting writes the scores of all rows
 
 
@@ -110,8 +111,10 @@ def _rows(df: DataFrame, weight: str | None) -> DataFrame:
     return df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
 
 
-def _sums(rows: DataFrame, sent, work, kind: str = "sum") -> dict[int, tuple]:
-    """work(model state, x, y, w) returns (places, values) of one partition; the sums (or least and most) by place."""
+def _sums(rows: DataFrame, sent, work, kind: str = "sum") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """work(model state, x, y, w) returns the values of one partition by place; the sums (or least and most) by place.
+
+    Partitions send blocks of BLOCK places, which are added up where the blocks meet."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
@@ -119,14 +122,36 @@ def _sums(rows: DataFrame, sent, work, kind: str = "sum") -> dict[int, tuple]:
                 part = b.slice(lo, 4096)
                 total = work(sent.value, _matrix(part.column(0)), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False), total)
         if total is not None:
-            for cols in total if kind == "range" else [total]:
-                low, high = cols if kind == "range" else (cols, cols)
-                at = np.flatnonzero(np.isfinite(low) if kind == "range" else low)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(low[at]), pa.array(high[at])], names=["at", "a", "b"])
-
-    found = rows.mapInArrow(run, "at long, a double, b double").groupBy("at").agg(*([F.min("a").alias("a"), F.max("b").alias("b")] if kind == "range" else [F.sum("a").alias("a"), F.lit(0.0).alias("b")]))
-    got = found.toArrow()  # a row per open node and feature (or candidate) at most
-    return got.column("at").to_numpy(), got.column("a").to_numpy(), got.column("b").to_numpy()
+            low, high = total[0] if kind == "range" else (total, total[:0])
+            for lo in range(0, len(low), BLOCK):
+                a, z = low[lo:lo + BLOCK], high[lo:lo + BLOCK]
+                if (np.isfinite(a) if kind == "range" else a).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([lo // BLOCK]), pa.array([a.tobytes()], pa.binary()), pa.array([z.tobytes()], pa.binary())], names=["block", "a", "b"])
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for batch in batches:
+            for a, z in zip(batch.column("a"), batch.column("b")):
+                a, z = np.frombuffer(a.as_py()), np.frombuffer(z.as_py())
+                if low is None:
+                    low, high = a.copy(), z.copy()
+                elif kind == "range":
+                    np.fmin(low, a, out=low)
+                    np.fmax(high, z, out=high)
+                else:
+                    low += a
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([low.tobytes()], pa.binary()), pa.array([high.tobytes()], pa.binary())], names=["block", "a", "b"])
+
+    schema = "block long, a binary, b binary"
+    got = rows.mapInArrow(run, schema).groupBy("block").applyInArrow(meet, schema).toArrow()  # a number per open node and feature (or candidate) at most
+    at, low, high = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]
+    for block, a, z in zip(got.column("block").to_pylist(), got.column("a"), got.column("b")):
+        a, z = np.frombuffer(a.as_py()), np.frombuffer(z.as_py())
+        some = np.flatnonzero(np.isfinite(a) if kind == "range" else a)
+        at.append(block * BLOCK + some)
+        low.append(a[some])
+        high.append(z[some] if kind == "range" else np.zeros(len(some)))
+    return np.concatenate(at), np.concatenate(low), np.concatenate(high)
 
 
 class _Growing:
@@ -218,22 +243,26 @@ class ExtraTrees:
         return g.depth[n] < self.depth and s[-1] >= 2 * self.min_leaf and self._impurity(s, k) > 1e-9 * max(1.0, abs(s[2]) if not k else 1.0)
 
     def _split(self, g, part, owner, pick, cut, left, k) -> list[int]:
+        """left: (node, candidate, sums left of it). Gains are taken for a few thousand nodes at once."""
         out = []
-        for s, n in enumerate(part):
-            right = g.stats[n] - left[s]
-            ok = (pick[s] >= 0) & (left[s, :, -1] >= self.min_leaf) & (right[:, -1] >= self.min_leaf)
-            gain = np.where(ok, self._impurity(g.stats[n], k) - self._impurity(left[s], k) - self._impurity(right, k), -np.inf)
-            best = int(gain.argmax()) if len(gain) else 0
-            if not len(gain) or not gain[best] > 0:
-                continue
-            g.feature[n], g.threshold[n] = int(pick[s, best]), float(cut[s, best])
-            g.gains[pick[s, best]] += gain[best]
-            kids = [g.add(self._value(x, k), x, g.depth[n] + 1) for x in (left[s, best], right[best])]
-            g.left[n] = kids[0]
-            for c in kids:
-                owner[c] = owner[n]
-                if self._open(g, c, k):
-                    out.append(c)
+        for lo in range(0, len(part), 4096):
+            some = slice(lo, lo + 4096)
+            top = np.array([g.stats[n] for n in part[some]], float)[:, None]
+            right = top - left[some]
+            ok = (pick[some] >= 0) & (left[some, :, -1] >= self.min_leaf) & (right[..., -1] >= self.min_leaf)
+            gain = np.where(ok, self._impurity(top, k) - self._impurity(left[some], k) - self._impurity(right, k), -np.inf)
+            choice = gain.argmax(1)
+            for i in np.flatnonzero(gain[np.arange(len(gain)), choice] > 0):
+                n, c = part[lo + i], choice[i]
+                f = int(pick[lo + i, c])
+                g.feature[n], g.threshold[n] = f, float(cut[lo + i, c])
+                g.gains[f] += gain[i, c]
+                kids = [g.add(self._value(x, k), x, g.depth[n] + 1) for x in (left[lo + i, c].copy(), right[i, c].copy())]
+                g.left[n] = kids[0]
+                for x in kids:
+                    owner[x] = owner[n]
+                    if self._open(g, x, k):
+                        out.append(x)
         return out
 
 
@@ -260,20 +289,25 @@ def _left_sums(state, x, y, w, total):
     tries = pick.shape[1]
     total = np.zeros(size * tries * stat) if total is None else total
     node = model.leaves(x, own)
+    cells = total.reshape(size, tries, stat)
     for t in range(node.shape[1]):
         s = slot[node[:, t]]
-        rows = np.flatnonzero(s >= 0)
+        rows = np.argsort(s, kind="stable")[np.count_nonzero(s < 0):]
         if not len(rows):
             continue
         at = s[rows]
-        for c in range(tries):
-            f = pick[at, c]
-            go = (f >= 0) & (x[rows, np.maximum(f, 0)] <= cut[at, c])
-            r, base = rows[go], (at[go] * tries + c) * stat
-            if k:
-                total += np.bincount(np.concatenate([base + y[r].astype(np.int64), base + k]), weights=np.concatenate([w[r], np.ones(len(r))]), minlength=len(total))
-            else:
-                total += np.bincount(np.concatenate([base, base + 1, base + 2, base + 3]), weights=np.concatenate([w[r], w[r] * y[r], w[r] * y[r] ** 2, np.ones(len(r))]), minlength=len(total))
+        f = pick[at]
+        go = (f >= 0) & (x[rows[:, None], np.maximum(f, 0)] <= cut[at])
+        if k:
+            r, c = np.nonzero(go)
+            base = (at[r] * tries + c) * stat
+            np.add.at(total, base + y[rows[r]].astype(np.int64), w[rows[r]])
+            np.add.at(total, base + k, 1.0)
+        else:
+            edge = np.flatnonzero(np.diff(at, prepend=-1))
+            wr, yr = w[rows], y[rows]
+            for j, v in enumerate((wr, wr * yr, wr * yr ** 2, np.ones(len(rows)))):
+                cells[at[edge], :, j] += np.add.reduceat(np.where(go, v[:, None], 0.0), edge, axis=0)
     return total
 
 
@@ -383,8 +417,10 @@ def _histograms(state, x, y, w, total):
             continue
         r = (y[rows] == c) - p[rows, c]
         values = np.stack([w[rows] * np.abs(r) * (1 - np.abs(r)), w[rows] * r, np.ones(len(rows))])
+        first, last = int(at[rows].min()), int(at[rows].max()) + 1
+        mine_of = total[first * f * BINS * 3:last * f * BINS * 3]  # the class's own nodes
         for i in range(f):
-            base = ((at[rows] * f + i) * BINS + bins[rows, i]) * 3
+            base = (((at[rows] - first) * f + i) * BINS + bins[rows, i]) * 3
             for j in range(3):
-                total += np.bincount(base + j, weights=values[j], minlength=len(total))
+                mine_of += np.bincount(base + j, weights=values[j], minlength=len(mine_of))
     return total

@@ -178,3 +178,40 @@ def test_directions_against_a_dense_solution(spark):
     assert np.allclose(np.abs((comp * v[:5].T).sum(0)), 1, atol=1e-3)
     whole, all_squares = vectorize.principal_directions(rows, 70, 70)
     assert np.allclose(all_squares, s ** 2, atol=1e-8)
+
+
+def test_sums_left_of_thresholds_touch_own_places_only():
+    """A chunk of rows pays for its own nodes, however many are open; the sums are those of a plain loop."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    size, tries, stat, f = 50_000, 3, 4, 3
+    roots = list(range(4))
+    # four trees whose roots are the only nodes; the roots take scattered places among many open nodes
+    model = trees.TreeModel(0, roots, [-1] * 4, [0.0] * 4, [0] * 4, [[0.0]] * 4, np.zeros(f))
+    slot = np.array([7, 20_000, -1, 49_999])
+    pick, cut = np.tile(np.arange(3), (size, 1)), rng.uniform(0, 1, (size, tries))
+    pick[7, 2] = -1
+    x, y, w = rng.uniform(0, 1, (500, f)), rng.normal(size=500), rng.uniform(1, 2, 500)
+    total = np.zeros(size * tries * stat)
+    tracemalloc.start()
+    got = trees._left_sums((model, roots, slot, size, pick, cut, 0, stat), x, y, w, total)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < total.nbytes / 4
+    want = np.zeros((size, tries, stat))
+    for s in slot[slot >= 0]:
+        for c in range(tries):
+            if pick[s, c] >= 0:
+                go = x[:, pick[s, c]] <= cut[s, c]
+                want[s, c] = [w[go].sum(), (w * y)[go].sum(), (w * y * y)[go].sum(), go.sum()]
+    assert np.allclose(got.reshape(want.shape), want)
+
+
+def test_frames_are_dealt_out(spark):
+    """A table whose scan has one split trains on several, and keeps all rows; a small one stays together."""
+    d = spark.range(60_000).coalesce(1)
+    out = models.few_splits(d, 60_000)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) > 1 and sum(sizes) == 60_000 and max(sizes) < 40_000
+    assert models.few_splits(spark.range(100), 100).rdd.getNumPartitions() == 1
