@@ -227,3 +227,22 @@ def test_statistics_do_not_depend_on_partitions(skewed):
     a = stats.anova(stats.cluster_moments(d.coalesce(1), "c", ["x", "y"])).orderBy("feature").collect()
     b = stats.anova(stats.cluster_moments(d.repartition(8), "c", ["x", "y"])).orderBy("feature").collect()
     assert a == b
+
+
+def test_nearest_rows_match_a_full_sort_without_reading_all():
+    """Ties, repeated points and far askers; twenty thousand points and two thousand askers take moments, not minutes."""
+    import time
+
+    rng = np.random.default_rng(5)
+    for d, m in ((1, 3), (1, 400), (2, 400), (3, 60)):
+        for points in (rng.normal(size=(m, d)), rng.integers(0, 6, (m, d)).astype(float)):
+            val = rng.integers(0, 50, m).astype(float)
+            asks = np.vstack([points[:20], rng.normal(size=(20, d)) * 3])
+            for x, (near, dist) in zip(asks, impute.nearest_rows(points, val, asks, 5, 3)):
+                full = ((points - x) ** 2).sum(1) * 3 / d
+                want = np.lexsort((val, full))[:5]
+                assert [*zip(dist, val[near])] == [*zip(full[want], val[want])]
+    points = rng.normal(size=(20_000, 1))
+    begun = time.process_time()
+    impute.nearest_rows(points, points[:, 0], rng.normal(size=(2_000, 1)), 5, 2)
+    assert time.process_time() - begun < 3
