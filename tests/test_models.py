@@ -215,3 +215,27 @@ def test_frames_are_dealt_out(spark):
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert len(sizes) > 1 and sum(sizes) == 60_000 and max(sizes) < 40_000
     assert models.few_splits(spark.range(100), 100).rdd.getNumPartitions() == 1
+
+
+def test_candidates_run_side_by_side(spark, monkeypatch):
+    """Two fits wait for each other: one after the other they would never meet. A broken fit keeps its failed row."""
+    import threading
+
+    from tabulens.operators import clustering, clusters
+
+    meet, fit = threading.Barrier(2), clustering.kmeans
+
+    def kmeans(df, cols, k):
+        if k == 4:
+            raise ValueError("broken")
+        meet.wait(60)
+        return fit(df, cols, k)
+
+    monkeypatch.setattr(clustering, "kmeans", kmeans)
+    df = spark.createDataFrame([(i, float(i % 3 * 10 + i % 7 / 10), float(i % 5)) for i in range(60)], "id long, a double, b double")
+    board, labelled = clustering.compare(df, ["a", "b"], ["id"], ks=(2, 3, 4), density=None, families=("KMeans",))
+    rows = {r["params"]: r for r in board.collect()}
+    assert [rows[f"k=0{k}"]["status"] for k in (2, 3, 4)] == ["success", "success", "failed"] and rows["k=04"]["reason"] == "broken"
+    for name, d in labelled.items():
+        s = clusters.silhouette(d, "cluster", ["a", "b"]).agg(F.avg("s")).first()[0]
+        assert abs(rows[name.split()[1]]["silhouette"] - s) < 1e-6
