@@ -22,6 +22,7 @@ SPAN = K + WINDOW - 1
 BROADCAST_ROWS = 1_000_000  # benchmark fingerprints (about 40 bytes each) that are broadcast at most
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between words; letters in either case belong to words
 PLACE = (1 << 30) - 1  # a text has fewer words than this
+MARK = -1  # a row with this fingerprint stands for the document itself
 _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
@@ -40,11 +41,12 @@ def _places(n: Column, k: int) -> Column:
     return F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
 
 
-def fingerprints(d: DataFrame, short: list[int], whole: bool = False) -> DataFrame:
+def fingerprints(d: DataFrame, short: list[int], whole: bool = False, mark: bool = False) -> DataFrame:
     """Rows of d (with array `words`) times kept k-grams: adds f (hash) and at (word place).
 
     `short` lists the lengths of the benchmark's short items, whose grams are kept at every
-    place; with `whole` (the items themselves) a short text gives its one gram only.
+    place; with `whole` (the items themselves) a short text gives its one gram only. With `mark`
+    every row also gives one with f = MARK, which is no hash.
     """
     # a word's hash ignores case in full: it can only bring more candidates, never lose one
     d = d.withColumn("_h", F.transform("words", lambda x: F.xxhash64(F.lower(x)))).withColumn("_n", F.size("_h"))
@@ -53,13 +55,15 @@ def fingerprints(d: DataFrame, short: list[int], whole: bool = False) -> DataFra
     kept = F.array_distinct(F.transform(spans, lambda i: F.array_min(F.slice(F.col("_g"), i + 1, WINDOW))))
     every = lambda n: F.transform(_places(F.col("_n"), n), lambda i: _gram(F.col("_h"), i, n))
     parts = [kept, *(F.when(F.col("_n") == n, every(n)).otherwise(F.array().cast("array<bigint>")) if whole else every(n) for n in short)]
+    if mark:
+        parts.append(F.array(F.lit(MARK).cast("bigint")))
     d = d.withColumn("_p", F.explode(F.concat(*parts) if len(parts) > 1 else kept))
     return d.withColumn("f", F.shiftright("_p", 30)).withColumn("at", (F.lit(PLACE) - F.col("_p").bitwiseAND(F.lit(PLACE))).cast("int")).drop("_h", "_n", "_g", "_p")
 
 
 def _extend(hit: DataFrame) -> DataFrame:
     """Hits (words, item_words, at, item_at, item_n) to word ranges start (in), stop (out) of the
-    document; looks at the neighbourhood that a span with this k-gram can reach."""
+    document; looks at the neighbourhood that a span with this k-gram can reach. Marks stay, without a range."""
     fold = lambda x: F.translate(x, _UPPER, _LOWER)
     reach = F.least(F.lit(SPAN), F.col("item_n"))
     lo = F.greatest(F.lit(0), F.col("item_at") - (SPAN - K))
@@ -70,12 +74,12 @@ def _extend(hit: DataFrame) -> DataFrame:
         "a": F.coalesce(F.array_max(F.filter("miss", lambda j: j <= F.col("item_at"))) + 1, F.col("lo")),
         "b": F.coalesce(F.array_min(F.filter("miss", lambda j: j > F.col("item_at"))), F.col("hi"))})
     shift = F.col("at") - F.col("item_at")
-    return hit.where(F.col("b") - F.col("a") >= reach).withColumns({"start": F.col("a") + shift, "stop": F.col("b") + shift})
+    return hit.where((F.col("f") == MARK) | (F.col("b") - F.col("a") >= reach)).withColumns({"start": F.col("a") + shift, "stop": F.col("b") + shift})
 
 
-def shared_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """(id_col, text_key, item_id, start, stop): ranges of document words that stand in a window
-    of an item. Ranges may overlap; their union is complete. text_key tells apart texts with one id."""
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str) -> DataFrame:
+    """(id_col, text_key, item_id, start, stop, n_words, times) from one pass over the documents: the ranges of
+    shared_spans, and for every id and text one row without a range, with its words and the number of its rows."""
     items = cut_lineage(benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.transform(words(F.col("text").cast("string")), lambda x: F.translate(x, _UPPER, _LOWER)).alias("words"))
                         .where(F.size("words") > 0).withColumn("own", F.md5(F.array_join("words", " ").cast("binary"))).distinct())
     short = sorted(r["n"] for r in items.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct().collect())  # fewer than SPAN values
@@ -83,15 +87,23 @@ def shared_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text = F.col("text").cast("string")
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), words(text).alias("words"))
     slim = cut_lineage(grams)
-    small = slim.count() <= BROADCAST_ROWS
-    if small:
-        hit = fingerprints(d, short).join(F.broadcast(slim), "f")
-    else:
-        found = fingerprints(d, short).select("id", "text_key", "f", "at").join(slim, "f").drop("f")
-        hit = found.join(d.withColumnRenamed("id", "_id").withColumnRenamed("text_key", "_key"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).drop("_id", "_key")
     texts = items.select("own", F.col("words").alias("item_words")).distinct()
-    hit = hit.join(F.broadcast(texts) if small else texts, "own")
-    return _extend(hit).select(F.col("id").alias(id_col), "text_key", "item_id", "start", "stop").distinct()
+    n_words = F.size("words").cast("long")
+    if slim.count() <= BROADCAST_ROWS:
+        marked = slim.unionByName(slim.sparkSession.range(1).select(F.lit(MARK).cast("bigint").alias("f")), allowMissingColumns=True)
+        hit = fingerprints(d, short, mark=True).join(F.broadcast(marked), "f").join(F.broadcast(texts), "own", "left")
+        got = _extend(hit).withColumn("n_words", F.when(F.col("f") == MARK, n_words))
+    else:
+        near = fingerprints(d, short).select("id", "text_key", "f", "at").join(slim, "f")
+        hit = near.join(d.withColumnRenamed("id", "_id").withColumnRenamed("text_key", "_key"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).drop("_id", "_key")
+        got = _extend(hit.join(texts, "own")).select("id", "text_key", "item_id", "start", "stop").unionByName(d.select("id", "text_key", n_words.alias("n_words")), allowMissingColumns=True)
+    return got.groupBy(F.col("id").alias(id_col), "text_key", "item_id", "start", "stop", "n_words").agg(F.count("*").cast("int").alias("times"))
+
+
+def shared_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """(id_col, text_key, item_id, start, stop): ranges of document words that stand in a window
+    of an item. Ranges may overlap; their union is complete. text_key tells apart texts with one id."""
+    return _found(docs, benchmark, id_col, item_col).where("start is not null").select(id_col, "text_key", "item_id", "start", "stop")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
@@ -103,16 +115,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     with a null id count, but have no id to be listed; an empty benchmark hits nothing. Rows with
     the same id and text get the same result.
     """
-    spans = cut_lineage(shared_spans(docs, benchmark, id_col, item_col))
+    both = cut_lineage(_found(docs, benchmark, id_col, item_col))
+    spans = both.where("start is not null")
     own = Window.partitionBy(id_col, "text_key").orderBy("start", "stop")
     ranges = spans.select(id_col, "text_key", "start", "stop").distinct()
     ranges = ranges.withColumn("before", F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     hits = ranges.groupBy(id_col, "text_key").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), F.coalesce("before", F.lit(0))))).alias("n_hit"))
     listed = spans.select(id_col, "text_key", "item_id").distinct().groupBy(id_col, "text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.count("*").alias("n_items"))
     found = hits.join(listed.withColumnsRenamed({id_col: "_id", "text_key": "_key"}), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), "n_hit", "n_items", "items")
-    text = F.col("text").cast("string")
-    every = docs.select(F.col(id_col), F.xxhash64(text).alias("text_key"), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(BREAK.replace("[", "[^", 1))).cast("long").alias("n_words"))
+    every = both.where("start is null").select(id_col, "text_key", "n_words", "times")
     out = every.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    out = out.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))  # rows with one id and text share a result
     out = out.select(id_col, "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -631,3 +631,19 @@ def test_pipeline(spark, tmp_path):
     ids = lib.encode("new line here")
     assert got[26]["n_tokens"] == len(ids) and got[26]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "simhash", "decontamination", "sentencepiece"]
+
+
+def test_decontamination_reads_documents_once(spark, tmp_path, monkeypatch):
+    """One scan of the texts finds hits and counts words, and repeated rows and texts without words keep their rows; the path for large benchmarks agrees."""
+    item = " ".join(f"w{i}" for i in range(15))
+    rows = [(1, "a b " + item + " c"), (1, "a b " + item + " c"), (2, "short text"), (2, "other"), (None, item.upper()), (3, None), (4, ""), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    bench = spark.createDataFrame([("7", item), ("8", "short text")], "item_id string, text string")
+    out = winnow.contamination(docs, bench)
+    flat = lambda rs: sorted((repr(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in rs)
+    got = flat(out.collect())
+    assert got == sorted([("1", 18, 15, 1, ["7"], True)] * 2 + [("2", 2, 2, 1, ["8"], True), ("2", 1, 0, 0, [], False), ("None", 15, 15, 1, ["7"], True), ("3", 0, 0, 0, [], False)] + [("4", 0, 0, 0, [], False)] * 2)
+    assert str(tmp_path / "d") not in out._jdf.queryExecution().optimizedPlan().toString() and "Relation" not in out._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(winnow, "BROADCAST_ROWS", 0)
+    assert flat(winnow.contamination(docs, bench).collect()) == got
