@@ -180,6 +180,34 @@ def test_directions_against_a_dense_solution(spark):
     assert np.allclose(all_squares, s ** 2, atol=1e-8)
 
 
+def test_directions_read_the_rows_once(spark):
+    """Up to a bound of terms all steps work on one table of products; empty rows add nothing."""
+    rows = spark.range(400).selectExpr("id", "array(cast(id % 40 as int), cast(40 + id % 7 as int)) as j", "array(0.8D, 0.6D + id / 4000) as x")
+    rows = rows.unionByName(rows.limit(3).selectExpr("id", "cast(array() as array<int>) as j", "cast(array() as array<double>) as x"))
+    sc = spark.sparkContext
+    sc.setJobGroup("directions", "one pass")
+    try:
+        comp, squares = vectorize.principal_directions(rows, 47, 4)
+        assert len(sc.statusTracker().getJobIdsForGroup("directions")) <= 8
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    x = np.zeros((403, 47))
+    for i, r in enumerate(rows.collect()):
+        x[i, r["j"]] = r["x"]
+    assert np.allclose(vectorize._square(rows, 47), x.T @ x, atol=1e-9)
+    assert np.allclose(squares, np.linalg.svd(x)[1][:4] ** 2, rtol=1e-5) and np.allclose(comp.T @ comp, np.eye(4), atol=1e-9)
+
+
+def test_grams_find_the_words_of_a_text_once(spark):
+    df = spark.createDataFrame([(1, "Red fox red fox"), (2, "a"), (3, None), (4, "Blue"), (5, "")], "id long, t string")
+    for rows in (vectorize._gram_rows(df, "t", True, "id"), vectorize._term_rows(df, "t", True, "id")):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted(tuple(r) for r in vectorize._term_rows(df, "t", True, "id").collect()) == [
+        (1, "fox", 0), (1, "fox", 1), (1, "fox red", 1), (1, "red", 0), (1, "red", 1), (1, "red fox", 0), (1, "red fox", 1), (4, "blue", 1)]
+    assert sorted(tuple(r) for r in vectorize._gram_rows(df, "t", True, "id").collect()) == [
+        (1, "fox"), (1, "fox"), (1, "fox red"), (1, "red"), (1, "red"), (1, "red fox"), (1, "red fox"), (4, "blue")]
+
+
 def test_sums_left_of_thresholds_touch_own_places_only():
     """A chunk of rows pays for its own nodes, however many are open; the sums are those of a plain loop."""
     import tracemalloc
