@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulens.functions import pvalues, text as X
 from tabulens.functions.lexicon import MISSING_TOKENS
-from tabulens.operators import clean, column_types as ct, extract, impute, models, sampling
+from tabulens.operators import clean, column_types as ct, extract, impute, models, sampling, textstats
 from tabulens.operators.profile import column_profile
 from tabulens.sources import files
 from tabulens.sources.runs import merge_maps
@@ -33,6 +33,24 @@ def test_language(spark, raw, want):
     assert one(spark, X.cell_language(F.lit(raw))) == want
 
 
+@pytest.mark.parametrize("raw, want", [("", 0), ("  ", 0), ("a", 1), (" a\u00a0b\u2003 c ", 3), ("one\ttwo\n\nthree", 3), ("x\u200by", 1), (None, 0)])
+def test_words(spark, raw, want):
+    assert one(spark, X.word_count(F.lit(raw).cast("string"))) == want
+
+
+def test_text_features_need_no_list_of_words(spark):
+    rows = [(1, " Hello\u00a0big  World\n"), (2, ""), (3, None), (4, " \t"), (5, "one")]
+    got = textstats.text_features(spark.createDataFrame(rows, "id long, t string"), ["t"])
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "hello big world", 15, 3, "english"), (2, "", 0, 0, "unknown"), (3, None, 0, 0, "unknown"), (4, "", 0, 0, "unknown"), (5, "one", 3, 1, "english")]
+    both = textstats.text_features(spark.createDataFrame([(1, "مرحبا  بالعالم"), (2, "abc مرح"), (3, "hello there"), (4, None)], "id long, t string"), ["t"])
+    assert sorted(tuple(r)[2:] for r in both.collect()) == [(0, 0, "unknown"), (7, 2, "mixed"), (11, 2, "english"), (13, 2, "arabic")]
+
+
+def test_a_word_count_makes_no_match_of_every_word(spark):
+    assert "regexp_extract_all" not in spark.range(1).select(X.word_count(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("ref", ["/x", "x/y", "../z", "../../../q", "./a/./b", "?a=1", "#t", "//h.org/p", "http://o.org/", "a/..", ".", "", "a?u=/b/../c"])
 @pytest.mark.parametrize("base", ["http://h.com/a/b/c.html?q=1#f", "http://h.com", "https://h.com/d/"])
 def test_urls(spark, base, ref):
