@@ -198,6 +198,14 @@ def test_directions_read_the_rows_once(spark):
     assert np.allclose(squares, np.linalg.svd(x)[1][:4] ** 2, rtol=1e-5) and np.allclose(comp.T @ comp, np.eye(4), atol=1e-9)
 
 
+def test_text_vectors_are_not_merged_in_one_task(spark):
+    """A split of the vectors is dealt out: a task that merged the splits before it would hold the memory of all."""
+    d = spark.range(60).selectExpr("id", "concat('word', id % 7, ' and more of word', id % 5) as t", "id % 2 as y")
+    data = models.text_frame(d, "id", "t", "y", max_features=20)
+    for frame in (data.frame, *data.frames.values()):
+        assert frame.rdd.getNumPartitions() == 1 and "Coalesce 1" not in frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_grams_find_the_words_of_a_text_once(spark):
     df = spark.createDataFrame([(1, "Red fox red fox"), (2, "a"), (3, None), (4, "Blue"), (5, "")], "id long, t string")
     for rows in (vectorize._gram_rows(df, "t", True, "id"), vectorize._term_rows(df, "t", True, "id")):
