@@ -99,7 +99,7 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None =
     A column is ranked once for all pairs; only where a partner has NULLs in other rows is it
     ranked again among the rows both have. All ranks come from one table of value counts. Ranks of
     columns with few different values are looked up by broadcast (up to `spread_values` rows in all,
-    checked), so such rows are never shuffled; the others are placed in one long shuffle.
+    checked), so such rows are never shuffled; every other column takes one shuffle of the rows.
     """
     pairs = list(pairs)
     cols = list(dict.fromkeys(c for p in pairs for c in p))
@@ -108,43 +108,47 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None =
     full = plain.agg(F.count("*").alias("rows"), *[F.count(x).alias(x) for x in at.values()],
                      *[F.count_if(F.col(at[a]).isNotNull() & F.col(at[b]).isNotNull()).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
     rows = full["rows"]
-    jobs: dict[tuple[str, str | None], int] = {}
+    # a column's values are counted once: all of them, and those in rows where a partner with other NULLs is known
+    wanted: dict[str, list[str | None]] = {c: [] for c in cols}
     sides = []
     for i, (a, b) in enumerate(pairs):
-        sides.append([jobs.setdefault((c, None if full[at[c]] == full[f"p{i}"] else o), len(jobs)) for c, o in ((a, b), (b, a))])
-    value = {j: F.col(at[c]) if o is None else F.when(F.col(at[o]).isNotNull(), F.col(at[c])) for (c, o), j in jobs.items()}
-    items = lambda which: F.array(*[F.struct(F.lit(j).alias("job"), value[j].alias("v")) for j in which])
-    known = [j for (c, o), j in jobs.items() if c in places and o is None]
-    known = known if len(known) < len(jobs) else []
-    freq = plain.select(F.inline(items(j for j in jobs.values() if j not in known))).where("v is not null").groupBy("job", "v").agg(F.count("*").alias("c"))
-    ranks = running_totals(freq, "job", "v", ["c"], rows, one_task).select("job", "v", F.col("c").alias("w"), (F.col("c_upto") - (F.col("c") - 1) / 2.0).alias("r"))
+        side = []
+        for c, o in ((a, b), (b, a)):
+            o = None if full[at[c]] == full[f"p{i}"] else o
+            if o not in wanted[c]:
+                wanted[c].append(o)
+            side.append((c, wanted[c].index(o)))
+        sides.append(side)
+    known = [c for c in cols if c in places and wanted[c] == [None]]
+    known = known if len(known) < len(cols) else []
+    ranked = [c for c in cols if c not in known]
+    most = max(len(w) for w in wanted.values())
+    one = lambda c, i: (F.lit(1) if wanted[c][i] is None else F.col(at[wanted[c][i]]).isNotNull().cast("int")) if i < len(wanted[c]) else F.lit(0)
+    items = F.array(*[F.struct(F.lit(cols.index(c)).alias("job"), F.col(at[c]).alias("v"), *[one(c, i).alias(f"c{i}") for i in range(most)]) for c in ranked])
+    freq = plain.select(F.inline(items)).where("v is not null").groupBy("job", "v").agg(F.count("*").alias("w"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(most)])
+    ranks = running_totals(freq, "job", "v", [f"c{i}" for i in range(most)], rows, one_task).select("job", "v", "w", *[(F.col(f"c{i}_upto") - (F.col(f"c{i}") - 1) / 2.0).alias(f"r{i}") for i in range(most)])
     ranks = cut_lineage(ranks)  # read once per column; without this every reading would add up the ranges again
-    size = {r["job"]: r["n"] for r in ranks.groupBy("job").agg(F.count("*").alias("n")).collect()}  # one row per ranked column
+    size = {cols[r["job"]]: r["n"] for r in ranks.groupBy("job").agg(F.count("*").alias("n")).collect()}  # one row per ranked column
     few, room = [], spread_values
-    for j in sorted(size, key=size.get):
-        if size[j] <= room:
-            few.append(j)
-            room -= size[j]
-    many = [j for j in size if j not in few]
-    wide = plain.withColumns({f"r{j}": value[j] + 1 for j in known})
-    for j in few:
-        mine = ranks.where(F.col("job") == j).select(F.col("v").alias(f"v{j}"), F.col("r").alias(f"r{j}"))
-        wide = wide.join(F.broadcast(mine), value[j] == F.col(f"v{j}"), "left").drop(f"v{j}")
-    few += known
-    if many:
-        wide = cut_lineage(wide.select(*sorted({at[c] for job, j in jobs.items() if j in many for c in job if c}), *[f"r{j}" for j in few], F.monotonically_increasing_id().alias("_row")))
-        long = wide.select("_row", F.inline(items(many))).where("v is not null")
-        placed = lookup(long, ranks, ["job", "v"], "w", rows, floor)
-        if few:
-            placed = placed.select("_row", "job", "r", *[F.lit(None).cast("double").alias(f"r{j}") for j in few]).unionByName(wide.select("_row", F.lit(-1).alias("job"), F.lit(None).cast("double").alias("r"), *[f"r{j}" for j in few]))
-        wide = placed.groupBy("_row").agg(*[F.max(F.when(F.col("job") == j, F.col("r"))).alias(f"r{j}") for j in many], *[F.max(f"r{j}").alias(f"r{j}") for j in few])
+    for c in sorted(size, key=size.get):
+        if size[c] <= room:
+            few.append(c)
+            room -= size[c]
+    many = [c for c in size if c not in few]
+    rank = lambda c, i: F.col(f"{at[c]}_r{i}")
+    mine = lambda c: ranks.where(F.col("job") == cols.index(c)).select(F.col("v").alias("_v"), *[F.col(f"r{i}").alias(f"{at[c]}_r{i}") for i in range(len(wanted[c]))], F.col("w").alias("_w"))
+    wide = plain.withColumns({f"{at[c]}_r0": F.col(at[c]) + 1 for c in known})
+    for c in few:
+        wide = wide.join(F.broadcast(mine(c).drop("_w")), F.col(at[c]) == F.col("_v"), "left").drop("_v")
+    for c in many:
+        wide = add_ranks(wide, at[c], mine(c), [f"{at[c]}_r{i}" for i in range(len(wanted[c]))], list(at.values()), rows, floor)
     sums = []
     for i, (x, y) in enumerate(sides):
-        if any(j not in size and j not in known for j in (x, y)):
+        if any(c not in size and c not in known for c, _ in (x, y)):
             sums += [F.lit(None).cast("double").alias(f"{k}{i}") for k in ("xy", "xx", "yy")]
             continue
         mid = (full[f"p{i}"] + 1) / 2.0
-        dx, dy = F.col(f"r{x}") - mid, F.col(f"r{y}") - mid
+        dx, dy = rank(*x) - mid, rank(*y) - mid
         both = dx.isNotNull() & dy.isNotNull()
         sums += [F.sum(dx * dy).alias(f"xy{i}"), F.sum(F.when(both, dx * dx)).alias(f"xx{i}"), F.sum(F.when(both, dy * dy)).alias(f"yy{i}")]
     out = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.lit(full[f"p{i}"]).cast("long").alias("n"),
@@ -154,6 +158,23 @@ def spearman(df: DataFrame, pairs: Sequence[tuple[str, str]], rows: int | None =
     return wide.agg(*sums).select(F.inline(F.array(*out)))
 
 
+def add_ranks(wide: DataFrame, col: str, table: DataFrame, ranks: Sequence[str], spread_by: Sequence[str], rows: int, floor: int) -> DataFrame:
+    """Left join of (_v, ranks..., _w) on the values of `col`, where _w counts the rows of a value.
+
+    Values with more than rows/1000 rows (at most a thousand of them) are joined by broadcast. Their rows and those
+    without a value have no partner in the shuffle that follows; a salt deals them out."""
+    limit = max(rows / 1000, floor)
+    if rows <= limit:
+        return wide.join(table.drop("_w"), F.col(col) == F.col("_v"), "left").drop("_v")
+    hot = table.where(F.col("_w") > limit).select(F.col("_v").alias("_hot"), *[F.col(r).alias(f"_hot_{r}") for r in ranks])
+    wide = wide.join(F.broadcast(hot), F.col(col) == F.col("_hot"), "left")
+    alone = F.col(col).isNull() | F.col("_hot").isNotNull()
+    salt = F.when(alone, F.pmod(F.xxhash64(*spread_by, F.spark_partition_id()), F.lit(4096)) + 1).otherwise(F.lit(0))
+    cold = table.where(F.col("_w") <= limit).drop("_w").withColumn("_s", F.lit(0).cast("long"))
+    wide = wide.withColumn("_salt", salt.cast("long")).join(cold, (F.col(col) == F.col("_v")) & (F.col("_salt") == F.col("_s")), "left")
+    return wide.withColumns({r: F.coalesce(F.col(f"_hot_{r}"), F.col(r)) for r in ranks}).drop("_v", "_s", "_salt", "_hot", *[f"_hot_{r}" for r in ranks])
+
+
 def cumulative_share(df: DataFrame, rank: str, value: str, alias: str = "cumulative") -> DataFrame:
     """Running sum over a ranked feature table (one row per feature, so one small window)."""
     w = W.orderBy(rank).rowsBetween(W.unboundedPreceding, W.currentRow)

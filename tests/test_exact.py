@@ -66,6 +66,23 @@ def test_order_boundaries_share_passes(skewed):
         assert set(rows.id[rows[f"c{i}"]]) == set(pdf.id.head(max(p, 0))), p
 
 
+@pytest.mark.parametrize("floor", [1_000_000, 50])
+def test_spearman_of_many_values_shuffles_rows_once_a_column(spark, floor):
+    """Hot values, NULLs and a partner with holes; no row is taken apart by column and put together again."""
+    k = F.col("id")
+    d = spark.range(4000).select((k * 7919 % 4001).cast("double").alias("a"), F.when(k % 3 == 0, 0.0).otherwise((k * 31 % 997) + k / 5000).alias("b"),
+                                 F.when(k % 5 != 0, (k * 13 % 1009).cast("double")).alias("c"), F.when(k % 7 != 0, (k % 6).cast("double")).alias("f"))
+    pairs = [("a", "b"), ("c", "b"), ("f", "b"), ("c", "f"), ("a", "a")]
+    got = ranks.spearman(d, pairs, one_task=500, floor=floor, spread_values=50)
+    p = d.toPandas()
+    for r in got.collect():
+        both = p[[r.feature_a, r.feature_b]].dropna() if r.feature_a != r.feature_b else p[["a"]].dropna()
+        want = both.iloc[:, 0].rank().corr(both.iloc[:, -1].rank())
+        assert r.n == len(both) and r.spearman_r == pytest.approx(want, abs=1e-9)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("Generate") == 1  # the sums, and their rows
+
+
 def test_spearman_with_hot_value(skewed):
     pdf = skewed.toPandas()
     want = pdf.x.rank().corr(pdf.y.rank())
