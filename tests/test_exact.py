@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulens.operators import clustering, dbscan, drift, iforest, impute, quantiles, ranks, sampling, stats
+from tabulens.operators import clustering, clusters, dbscan, drift, iforest, impute, quantiles, ranks, sampling, stats
 from tabulens.operators.profile import column_profile
 
 
@@ -263,3 +263,27 @@ def test_nearest_rows_match_a_full_sort_without_reading_all():
     begun = time.process_time()
     impute.nearest_rows(points, points[:, 0], rng.normal(size=(2_000, 1)), 5, 2)
     assert time.process_time() - begun < 3
+
+
+def test_scores_of_many_clusters(spark, monkeypatch):
+    """Block by block and part by part the scores are those of the expression over all clusters, one of them a single row."""
+    rng = np.random.default_rng(4)
+    rows = [(c, float(rng.normal(c % 7 * 3, 0.1 + c % 5)), float(rng.normal(c // 7 * 2, 0.3)), 1.0) for c in range(40) for _ in range(1 if c == 3 else 12)] + [(-1, 99.0, 99.0, 9.0)]
+    df = spark.createDataFrame(rows, "cluster long, x double, y double, z double").repartition(3)
+    want = clusters.separation_scores(df, "cluster", ["x", "y", "z"])
+    monkeypatch.setattr(clusters, "FEW", 5)
+    monkeypatch.setattr(clusters, "LEAF", 4)
+    for part in (1_000, 15):
+        monkeypatch.setattr(clusters, "AT_ONCE", part)
+        assert clusters.separation_scores(df, "cluster", ["x", "y", "z"]) == pytest.approx(want, abs=2e-6)
+
+
+def test_a_setting_with_many_clusters_is_scored(spark):
+    """2,100 groups of five points each: DBSCAN finds them, and the comparison ranks that setting."""
+    rows = [(5 * g + i, float(g % 50) * 10 + i * 0.01, float(g // 50) * 10) for g in range(2100) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    board, labelled = clustering.compare(df, ["x", "y"], ["id"], density=((0.3,), (4,)), families=())
+    top = board.first()
+    assert (top.algorithm, top.n_clusters, top.status, top.selected) == ("DBSCAN", 2100, "success", True)
+    assert top.silhouette > 0.999 and top.davies_bouldin == pytest.approx(2 * np.mean([0.02, 0.01, 0, 0.01, 0.02]) / 10, abs=1e-6)
+    assert labelled["DBSCAN eps=0.3,min=4"].select("cluster").distinct().count() == 2100
