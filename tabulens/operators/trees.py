@@ -24,6 +24,7 @@ from ..session import cut_lineage
 ROOM = 20_000_000  # numbers that a task holds for the open nodes of the trees it grows together
 BINS = 32
 BLOCK = 65_536  # numbers that travel as one value
+SPLIT, MOST = 1_000, 500_000  # different rows of a split that randomised trees read, at least and at most
 MATERIAL = 10  # rounds after which boosting writes the scores of all rows
 
 
@@ -111,8 +112,18 @@ def _rows(df: DataFrame, weight: str | None) -> DataFrame:
     return df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
 
 
+def _alike(rows: DataFrame, classes: bool) -> DataFrame:
+    """Rows that no split can part as one: (x, y, w, n, q), the weight, rows and weighted squares of all with the same features
+    (and class). Sums over rows do not change by that."""
+    if classes:
+        return rows.groupBy("x", "y").agg(F.sum("w").alias("w"), F.count("*").cast("double").alias("n"), F.lit(0.0).alias("q")).select("x", "y", "w", "n", "q")
+    y, w = F.col("y"), F.col("w")
+    got = rows.groupBy("x").agg(F.sum(w).alias("w"), F.count("*").cast("double").alias("n"), F.sum(w * y).alias("s"), F.sum(w * y * y).alias("q"))
+    return got.select("x", F.coalesce(F.try_divide("s", "w"), F.lit(0.0)).alias("y"), "w", "n", "q")
+
+
 def _sums(rows: DataFrame, sent, work, kind: str = "sum") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """work(model state, x, y, w) returns the values of one partition by place; the sums (or least and most) by place.
+    """work(model state, x, y, w, total so far, other columns) returns the values of one partition by place; the sums (or least and most) by place.
 
     Partitions send blocks of BLOCK places, which are added up where the blocks meet."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +131,8 @@ def _sums(rows: DataFrame, sent, work, kind: str = "sum") -> tuple[np.ndarray, n
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                total = work(sent.value, _matrix(part.column(0)), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False), total)
+                y, w, *more = (part.column(i).to_numpy(zero_copy_only=False) for i in range(1, part.num_columns))
+                total = work(sent.value, _matrix(part.column(0)), y, w, total, *more)
         if total is not None:
             low, high = total[0] if kind == "range" else (total, total[:0])
             for lo in range(0, len(low), BLOCK):
@@ -174,27 +186,31 @@ class ExtraTrees:
     """Extremely randomised trees: all rows, and one random threshold for every candidate feature of a node.
 
     Classes are weighed by `weightCol`; a split leaves at least `min_leaf` rows on both sides. Candidates are
-    the square root of the features for classes, all of them for numbers; constant ones do not count."""
+    the square root of the features for classes, all of them for numbers; constant ones do not count. Rows with equal
+    features (and class) travel as one."""
 
     def __init__(self, task: str, trees: int = 80, depth: int = 12, min_leaf: int = 2, weightCol: str | None = None, seed: int = 43):  # noqa: N803
         self.task, self.trees, self.depth, self.min_leaf, self.weight, self.seed = task, trees, depth, min_leaf, weightCol, seed
 
     def fit(self, df: DataFrame) -> TreeModel:
-        rows = _rows(df, self.weight).persist()
+        alike = _alike(_rows(df, self.weight), self.task == "classification").persist()
+        n, cores = alike.count(), df.sparkSession.sparkContext.defaultParallelism
+        rows = alike.repartition(max(1, min(n // SPLIT, max(cores, n // MOST)))).persist()
         try:
             return self._fit(rows)
         finally:
             rows.unpersist()
+            alike.unpersist()
 
     def _fit(self, rows: DataFrame) -> TreeModel:
         head = rows.agg(F.max(F.size("x")).alias("f"), F.max("y").alias("k")).first()
         f, k = head["f"], int(head["k"]) + 1 if self.task == "classification" else 0
         stat = k + 1 if k else 4  # class weights and rows; or weight, sum, squares and rows
         if k:
-            per = {int(r["y"]): r for r in rows.groupBy("y").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()}  # one row per class
+            per = {int(r["y"]): r for r in rows.groupBy("y").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()}  # one row per class
             top = np.array([per[c]["w"] if c in per else 0.0 for c in range(k)] + [sum(r["n"] for r in per.values())], float)
         else:
-            r = rows.agg(F.sum("w"), F.sum(F.col("w") * F.col("y")), F.sum(F.col("w") * F.col("y") * F.col("y")), F.count("*")).first()
+            r = rows.agg(F.sum("w"), F.sum(F.col("w") * F.col("y")), F.sum("q"), F.sum("n")).first()
             top = np.array(r, float)
         tries = max(1, int(np.sqrt(f))) if k else f
         g = _Growing(f)
@@ -266,7 +282,7 @@ class ExtraTrees:
         return out
 
 
-def _ranges(state, x, y, w, total):
+def _ranges(state, x, y, w, total, *_):
     """Least and most of every feature in every open node."""
     model, own, slot, size, f = state
     low, high = total[0] if total else (np.full(size * f, np.inf), np.full(size * f, -np.inf))
@@ -283,11 +299,12 @@ def _ranges(state, x, y, w, total):
     return [(low, high)]
 
 
-def _left_sums(state, x, y, w, total):
-    """Sums left of each candidate threshold of every open node."""
+def _left_sums(state, x, y, w, total, n=None, q=None):
+    """Sums left of each candidate threshold of every open node. n, q: rows and weighted squares where a row stands for several."""
     model, own, slot, size, pick, cut, k, stat = state
     tries = pick.shape[1]
     total = np.zeros(size * tries * stat) if total is None else total
+    n, q = np.ones(len(x)) if n is None else n, w * y ** 2 if q is None else q
     node = model.leaves(x, own)
     cells = total.reshape(size, tries, stat)
     for t in range(node.shape[1]):
@@ -302,11 +319,10 @@ def _left_sums(state, x, y, w, total):
             r, c = np.nonzero(go)
             base = (at[r] * tries + c) * stat
             np.add.at(total, base + y[rows[r]].astype(np.int64), w[rows[r]])
-            np.add.at(total, base + k, 1.0)
+            np.add.at(total, base + k, n[rows[r]])
         else:
             edge = np.flatnonzero(np.diff(at, prepend=-1))
-            wr, yr = w[rows], y[rows]
-            for j, v in enumerate((wr, wr * yr, wr * yr ** 2, np.ones(len(rows)))):
+            for j, v in enumerate((w[rows], w[rows] * y[rows], q[rows], n[rows])):
                 cells[at[edge], :, j] += np.add.reduceat(np.where(go, v[:, None], 0.0), edge, axis=0)
     return total
 

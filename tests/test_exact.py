@@ -40,6 +40,18 @@ def test_ranks_by_bracketing(skewed, settle, accuracy):
         assert got[r] == (v, (pdf[c] < v).sum(), (pdf[c] == v).sum()), r
 
 
+def test_ranks_of_a_bracket_share_a_sketch(skewed, monkeypatch):
+    """Twelve ranks of two columns, six pairs of neighbours: the first round has a sketch for each column."""
+    calls, make = [], F.approx_percentile
+    monkeypatch.setattr(quantiles.F, "approx_percentile", lambda *a: (calls.append(a), make(*a))[1])
+    wanted = {f"{c}{k}": (c, k) for c in ("y", "id") for k in (1499, 1500, 2999, 3000, 4499, 4500)}
+    pdf = skewed.toPandas()
+    got = quantiles.select_ranks(skewed, wanted)
+    assert len(calls) == 2
+    for r, (c, k) in wanted.items():
+        assert got[r][0] == pdf[c].sort_values().iloc[k]
+
+
 def test_running_totals_by_ranges(spark):
     rows = [(g, float(v), v % 5 + 1, v % 3) for g in (0, 1, 2) for v in range(7, 400 * (g + 1))]
     df = spark.createDataFrame(rows, "g int, v double, a long, b long").repartition(7)
