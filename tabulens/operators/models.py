@@ -31,6 +31,7 @@ from .trees import ExtraTrees, MultinomialBoosting, TreeModel
 MAX_CLASSES = 1_000
 SEED = 42
 SPLIT_ROWS = 20_000  # rows of a split of a training frame
+MOST_ROWS = 500_000  # rows of a split, where a table has several times as many splits as there are cores
 
 
 @dataclass
@@ -226,8 +227,9 @@ class Prepared:
 
 def few_splits(df: DataFrame, rows: int, per_split: int = SPLIT_ROWS) -> DataFrame:
     """Iterative solvers run one job per step: a small table should not pay for many tiny tasks. A larger
-    one is dealt out evenly, since its scan may have few splits."""
-    splits = rows // per_split
+    one is dealt out evenly, since its scan may have few splits. Every split sends sums for all open nodes of
+    a forest, so beyond one split per core there are more only where they would hold over MOST_ROWS."""
+    splits = min(rows // per_split, max(df.sparkSession.sparkContext.defaultParallelism, rows // MOST_ROWS))
     return df.repartition(splits) if splits > 1 else df.coalesce(1)
 
 
